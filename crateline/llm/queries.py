@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import components, survivor
+from crateline.llm import components, encoding, packing, survivor
 from crateline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,28 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     """One record per track built field by field from its surviving claims."""
     claims, sources = load(spark, folder, "track_metadata_claims"), load(spark, folder, "claim_sources")
     return survivor.surviving_records(claims, sources, RECORD_FIELDS)
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return encoding.token_ids(load(spark, folder, "documents"), "doc_id", "text")
+
+
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+@query("p9_containers")
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document, or of each piece of a document above capacity, in byte_bpe_50k tokens."""
+    counts = encoding.token_counts(load(spark, folder, "documents"), "doc_id", "text")
+    items = counts.select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size"))
+    packed = packing.pack(items, CAPACITY)
+    return packed.select(
+        F.col("item_id").alias("doc_id"),
+        "piece",
+        F.col("start").alias("token_start"),
+        F.col("size").alias("n_tokens"),
+        F.col("container").alias("container_id"),
+    )
