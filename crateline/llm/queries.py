@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import components, encoding, packing, survivor
+from crateline.llm import components, encoding, neighbours, packing, survivor
 from crateline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,14 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
         F.col("size").alias("n_tokens"),
         F.col("container").alias("container_id"),
     )
+
+
+#: Neighbours of each track, and how far they may lie.
+NEIGHBOURS, RADIUS = 5, 2.5
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of tracks of which one is among the five nearest of the other, at most 2.5 apart."""
+    vectors = neighbours.timbre_vectors(load(spark, folder, "audio_features"))
+    return neighbours.near_pairs(neighbours.nearest(vectors, NEIGHBOURS, RADIUS))
