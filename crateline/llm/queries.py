@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import components, encoding, neighbours, packing, survivor
+from crateline.llm import components, encoding, mojibake, neighbours, packing, survivor
 from crateline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of tracks of which one is among the five nearest of the other, at most 2.5 apart."""
     vectors = neighbours.timbre_vectors(load(spark, folder, "audio_features"))
     return neighbours.near_pairs(neighbours.nearest(vectors, NEIGHBOURS, RADIUS))
+
+
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    tracks = load(spark, folder, "tracks").select("id", "title", "artist", "album")
+    return mojibake.garbled_fields(mojibake.long_fields(tracks, "id", ["title", "artist", "album"]))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The titles, artists and albums that were read in a wrong encoding."""
+    return _garbled(spark, folder).select("track_id", "field_name")
+
+
+@query("p7_restored")
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled titles, artists and albums with the text that could be restored."""
+    return _garbled(spark, folder)
