@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import components, encoding, mojibake, neighbours, packing, survivor
+from crateline.llm import components, encoding, lookalikes, mojibake, neighbours, packing, survivor
 from crateline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The garbled titles, artists and albums with the text that could be restored."""
     return _garbled(spark, folder)
+
+
+def _consistent(spark: SparkSession, folder: str) -> DataFrame:
+    tracks = load(spark, folder, "tracks").select("id", "title", "artist", "album")
+    model = lookalikes.model_of(tracks, ["title", "artist", "album"])
+    return lookalikes.consistent_fields(mojibake.long_fields(tracks, "id", ["title", "artist"]), model)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The titles and artists with a character out of form."""
+    return _consistent(spark, folder).select("track_id", "field_name")
+
+
+@query("p3_forms")
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The titles and artists with a character out of form, with their consistent form."""
+    return _consistent(spark, folder)
