@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import components, encoding, lookalikes, mojibake, neighbours, packing, survivor
+from crateline.llm import components, encoding, lookalikes, mojibake, names, neighbours, packing, survivor
+from crateline.operators import multivalue
+from crateline.operators.skew import lookup
+from crateline.session import cut_lineage
 from crateline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +169,34 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The titles and artists with a character out of form, with their consistent form."""
     return _consistent(spark, folder)
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    """(track_id, field_name, text, artist_id, cost) of the fields that hold one registered name in another spelling."""
+    tracks = load(spark, folder, "tracks").select("id", "title", "artist", "album", "album_artist")
+    registry = load(spark, folder, "artist_registry")
+    fields = mojibake.long_fields(tracks, "id", ["artist", "album_artist"])
+    links = names.linked_names(fields.select(F.col("text").alias("name")).distinct(), registry)
+    model = lookalikes.model_of(tracks, ["title", "artist", "album"])
+    grammar = multivalue.ARTIST_GRAMMAR
+
+    @F.pandas_udf("single boolean, clean boolean")
+    def kind(text: pd.Series, known: pd.Series) -> pd.DataFrame:
+        restorer = mojibake.Restorer(model)
+        own = [multivalue.Lexicon.of([x], grammar) for x in known]
+        single = [len(multivalue.split_text(x, grammar, lex)) <= 1 for x, lex in zip(text, own, strict=True)]
+        clean = [x.isascii() or not (lookalikes.out_of_form(x) or restorer.restore(x)[1]) for x in text]
+        return pd.DataFrame({"single": single, "clean": clean})
+
+    links = cut_lineage(links.withColumn("_k", kind("name", "known")).where("_k.single"))
+    out = []
+    for field, known in (("artist", links.where("_k.clean")), ("album_artist", links)):
+        rows = fields.where(F.col("field_name") == field)
+        out.append(lookup(rows, "text", known, "name", "artist_id", "artist_id").where(F.col("artist_id").isNotNull()))
+    return out[0].unionByName(out[1])
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The artist and album artist fields that mean a registered artist in another spelling."""
+    return _links(spark, folder).select("track_id", "field_name", "artist_id")
