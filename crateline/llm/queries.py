@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateline.llm import components, encoding, lookalikes, mojibake, names, neighbours, packing, survivor
+from crateline.llm import components, encoding, lookalikes, mojibake, names, neighbours, packing, survivor, webspam
 from crateline.operators import multivalue
 from crateline.operators.skew import lookup
 from crateline.session import cut_lineage
@@ -200,3 +200,20 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The artist and album artist fields that mean a registered artist in another spelling."""
     return _links(spark, folder).select("track_id", "field_name", "artist_id")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents made to be found rather than read."""
+    scores = webspam.spam_scores(load(spark, folder, "documents"), load(spark, folder, "doc_labels"))
+    return scores.where(webspam.is_spam()).select("doc_id")
+
+
+@query("p10_quality")
+def p10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """How the documents judged by hand are decided; their labels are not used here, not even for training."""
+    scores = webspam.spam_scores(load(spark, folder, "documents"))
+    decided = scores.select("doc_id", webspam.is_spam().alias("flagged"))
+    labels = load(spark, folder, "doc_labels").where(F.col("doc_id").isNotNull())
+    joined = labels.join(decided, "doc_id")
+    return joined.groupBy("label", "flagged").agg(F.count(F.lit(1)).alias("documents"))
