@@ -16,3 +16,13 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(per_core * cores, *keys)
+
+
+def parallel(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
+    """``df`` hash-partitioned by ``keys`` over all cores, for rows that are few bytes but much work.
+
+    An explicit number keeps adaptive execution from joining the small
+    partitions into one; larger tables keep the session's shuffle width.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(width, per_core * df.sparkSession.sparkContext.defaultParallelism), *keys)
