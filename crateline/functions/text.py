@@ -11,6 +11,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that carry nothing in a query.
 QUERY_STOP_WORDS = (
@@ -186,7 +187,7 @@ def compare_names(a: str, b: str) -> float:
     return max(within, words, blocks)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names in any writing; NULL where either is NULL."""
     return pd.Series([None if x is None or y is None else compare_names(ascii_words(x), ascii_words(y)) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -75,67 +75,69 @@ def _mean(parts: list[Column]) -> Column:
     return sum(parts[1:], parts[0]) / float(len(parts))
 
 
-def context_scores() -> dict[str, tuple[Column, Column]]:
-    """(score, confidence) of each context; without vocal evidence some are capped."""
+def with_signals(features: DataFrame) -> DataFrame:
+    """(track_id, inputs, soft signals, scores and confidences of the contexts), each computed once and then named.
+
+    Later steps refer to the names, so that the expressions do not multiply in the plan.
+    """
+    slim = features.select("track_id", "bpm", "energy", "danceability", "aggression", "brightness", "vocalness", "instrumentalness")
     s = soft_signals()
-    heard = F.col("vocalness").isNotNull() | F.col("instrumentalness").isNotNull()
-    out = {}
-    for name, (parts, sure) in CONTEXTS.items():
-        score, confidence = _mean([s[p] for p in parts]), F.lit(sure)
-        if name == "focus":
-            confidence = F.when(heard, sure).otherwise(0.56)
-        if name == "no_vocals_background":
-            score = F.when(heard, score).otherwise(F.least(score, F.lit(0.45)))
-            confidence = F.when(heard, sure).otherwise(0.34)
-        out[name] = (score, confidence)
-    return out
+    first = {k: v for k, v in s.items() if k not in ("bg", "any_energy")}
+    out = slim.withColumns(first | {"heard": F.col("vocalness").isNotNull() | F.col("instrumentalness").isNotNull()})
+    out = out.withColumns({"bg": F.col("low_mid_energy") * F.col("low_aggr"), "any_energy": F.greatest("med_energy", "high_energy")})
+    scores = {f"fit_{name}": _mean([F.col(p) for p in parts]) for name, (parts, _) in CONTEXTS.items()}
+    quiet = scores["fit_no_vocals_background"]
+    scores["fit_no_vocals_background"] = F.when(F.col("heard"), quiet).otherwise(F.least(quiet, F.lit(0.45)))
+    return out.withColumns(scores)
+
+
+def confidence_of(context: str) -> Column:
+    """How sure a context score is; without vocal evidence some are less."""
+    sure = CONTEXTS[context][1]
+    unheard = {"focus": 0.56, "no_vocals_background": 0.34}.get(context)
+    return (F.lit(sure) if unheard is None else F.when(F.col("heard"), sure).otherwise(unheard)).cast("double")
 
 
 def context_fit(features: DataFrame) -> DataFrame:
     """(track_id, context, score, confidence, evidence) of scores of at least 0.05."""
-    s = soft_signals()
-    slim = features.select("track_id", "bpm", "energy", "danceability", "aggression", "brightness", "vocalness", "instrumentalness")
     rows = []
-    for name, (score, confidence) in context_scores().items():
-        evidence = F.create_map(*[x for p in CONTEXTS[name][0] for x in (F.lit(p), F.round(s[p], 4))])
-        rows.append(F.struct(F.lit(name).alias("context"), F.round(score, 6).alias("score"), confidence.cast("double").alias("confidence"), evidence.alias("evidence")))
-    fits = F.filter(F.array(*rows), lambda r: r["score"] >= KEPT_SCORE)
-    return slim.select("track_id", F.explode(fits).alias("f")).select("track_id", "f.*")
+    for name, (parts, _) in CONTEXTS.items():
+        evidence = F.create_map(*[x for p in parts for x in (F.lit(p), F.round(F.col(p), 4))])
+        rows.append(
+            F.struct(F.lit(name).alias("context"), F.round(f"fit_{name}", 6).alias("score"), confidence_of(name).alias("confidence"), evidence.alias("evidence"))
+        )
+    exploded = with_signals(features).select("track_id", F.explode(F.array(*rows)).alias("f")).select("track_id", "f.*")
+    return exploded.where(F.col("score") >= KEPT_SCORE)
 
 
 def feature_tags(features: DataFrame) -> DataFrame:
     """(track_id, source, tag, score): threshold tags and the tags of strong context scores."""
-    en, dn, ag, br = (F.col(c) for c in ("energy", "danceability", "aggression", "brightness"))
+    en, dn, ag = (F.col(c) for c in ("energy", "danceability", "aggression"))
     bpm = N.perceived_tempo(F.col("bpm"))
-    c = context_scores()
-    heard = F.col("vocalness").isNotNull() | F.col("instrumentalness").isNotNull()
     tags: list[tuple[str, Column, float]] = [
         ("low_energy", N.max_score(en, 0.38, 0.35), 0.35),
         ("medium_energy", N.range_score(en, 0.30, 0.70, 0.30), 0.35),
-        ("high_energy", N.min_score(en, 0.62, 0.35), 0.35),
-        ("danceable", N.min_score(dn, 0.58, 0.35), 0.35),
+        ("high_energy", F.col("high_energy"), 0.35),
+        ("danceable", F.col("dance"), 0.35),
         ("not_danceable", N.max_score(dn, 0.42, 0.35), 0.35),
-        ("low_aggression", N.max_score(ag, 0.35, 0.35), 0.35),
+        ("low_aggression", F.col("low_aggr"), 0.35),
         ("aggressive", N.min_score(ag, 0.62, 0.35), 0.75),
-        ("dark", N.max_score(br, 0.42, 0.35), 0.35),
-        ("bright", N.min_score(br, 0.58, 0.35), 0.35),
+        ("dark", F.col("dark"), 0.35),
+        ("bright", F.col("bright"), 0.35),
         ("slow", N.max_score(bpm, 95, 45), 0.35),
         ("midtempo", N.range_score(bpm, 85, 125, 45), 0.35),
-        ("fast", N.min_score(bpm, 125, 45), 0.35),
-        ("dance_tempo", N.range_score(bpm, 110, 132, 35), 0.35),
-        ("background_friendly", c["background"][0], 0.85),
-        ("focus_friendly", c["focus"][0], 0.85),
-        ("lounge_friendly", c["lounge_bar"][0], 0.70),
-        ("warm_lounge", c["warm_lounge"][0], 0.70),
-        ("club_friendly", c["club"][0], 0.70),
-        ("no_vocals_background", F.when(heard, c["no_vocals_background"][0]).otherwise(0.0), 0.78),
-    ]
-    slim = features.select("track_id", "bpm", "energy", "danceability", "aggression", "brightness", "vocalness", "instrumentalness")
-    rows = [
-        F.when(score >= least, F.struct(F.lit(TAG_SOURCE).alias("source"), F.lit(tag).alias("tag"), F.round(score, 6).alias("score")))
-        for tag, score, least in tags
+        ("fast", F.col("fast_tempo"), 0.35),
+        ("dance_tempo", F.col("dance_tempo"), 0.35),
+        ("background_friendly", F.col("fit_background"), 0.85),
+        ("focus_friendly", F.col("fit_focus"), 0.85),
+        ("lounge_friendly", F.col("fit_lounge_bar"), 0.70),
+        ("warm_lounge", F.col("fit_warm_lounge"), 0.70),
+        ("club_friendly", F.col("fit_club"), 0.70),
+        ("no_vocals_background", F.when(F.col("heard"), F.col("fit_no_vocals_background")).otherwise(0.0), 0.78),
     ]
-    return slim.select("track_id", F.explode(F.array_compact(F.array(*rows))).alias("t")).select("track_id", "t.*")
+    rows = [F.struct(F.lit(TAG_SOURCE).alias("source"), F.lit(tag).alias("tag"), score.alias("s"), F.lit(least).alias("least")) for tag, score, least in tags]
+    exploded = with_signals(features).select("track_id", F.explode(F.array(*rows)).alias("t")).where(F.col("t.s") >= F.col("t.least"))
+    return exploded.select("track_id", "t.source", "t.tag", F.round("t.s", 6).alias("score"))
 
 
 #: The groups in which a profile lists its tags.
@@ -160,13 +162,17 @@ def profiles(tracks: DataFrame, features: DataFrame, tags: DataFrame, fits: Data
     fit_list = fits.where(F.col("score") >= 0.5).groupBy("track_id").agg(F.sort_array(F.collect_set("context")).alias("contexts"))
     rows = t.join(f, "track_id", "left").join(tag_list, "track_id", "left").join(fit_list, "track_id", "left")
     empty = F.array().cast("array<string>")
-    tags_of, contexts_of = F.coalesce(F.col("tags"), empty), F.coalesce(F.col("contexts"), empty)
-    tempo = N.perceived_tempo(F.col("bpm"), F.col("genre"))
-    bands = F.struct(
-        N.band(F.col("aggression")).alias("aggression"), N.band(F.col("brightness")).alias("brightness"),
-        N.band(F.col("danceability")).alias("danceability"), N.band(F.col("energy")).alias("energy"), N.tempo_band(tempo).alias("tempo"),
+    rows = rows.withColumns({"tags": F.coalesce(F.col("tags"), empty), "contexts": F.coalesce(F.col("contexts"), empty), "tempo": N.perceived_tempo(F.col("bpm"), F.col("genre"))})
+    tags_of, contexts_of, tempo = F.col("tags"), F.col("contexts"), F.col("tempo")
+    rows = rows.withColumn(
+        "bands",
+        F.struct(
+            N.band(F.col("aggression")).alias("aggression"), N.band(F.col("brightness")).alias("brightness"),
+            N.band(F.col("danceability")).alias("danceability"), N.band(F.col("energy")).alias("energy"), N.tempo_band(tempo).alias("tempo"),
+        ),
     )
-    grouped = F.struct(*[F.filter(tags_of, lambda x, g=g: x.isin(list(g))).alias(name) for name, g in sorted(TAG_GROUPS.items())])
+    bands = F.col("bands")
+    grouped = F.struct(*[F.array_intersect(tags_of, F.array(*[F.lit(t) for t in g])).alias(name) for name, g in sorted(TAG_GROUPS.items())])
     has = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
     quality = F.struct(
         N.completeness([F.col(c).isNotNull() for c in ("bpm", "energy", "danceability", "aggression", "brightness")], 5).alias("features"),

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crateline.functions import numeric as N
 from crateline.functions import text as X
@@ -124,7 +125,7 @@ def align_frames(a: np.ndarray, b: np.ndarray) -> float:
     return best / shorter
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def frame_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two decoded fingerprints; NULL where either is NULL or empty."""
     out = []

@@ -35,7 +35,7 @@ def bm25(documents: DataFrame, id_column: str, text_column: str, terms: list[str
     wanted = sorted({t.lower() for t in terms if t})
     docs = documents.select(F.col(id_column).alias("doc_id"), words(F.col(text_column)).alias("w"))
     docs = docs.select("doc_id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(wanted)).alias("hits")).where(F.col("length") > 0)
-    tf = [F.size(F.filter("hits", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    tf = [(F.size("hits") - F.size(F.array_remove("hits", t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
     docs = docs.select("doc_id", "length", *tf)
     if not wanted:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
@@ -98,7 +98,7 @@ def tag_scores(tags: DataFrame, prefer: list[str], avoid: list[str]) -> DataFram
     weight = (F.col("score") - 0.2) / 0.8
     liked, shunned = concept_matches(F.col("tag"), prefer), concept_matches(F.col("tag"), avoid) & ~F.col("tag").rlike(r"(^|_)(no|not|without)_|instrumental")
     total = F.sum(F.when(liked, weight).otherwise(0.0) - F.when(shunned, weight).otherwise(0.0))
-    return strong.groupBy("track_id").agg(F.round(N.clamp(total), 6).alias("tag_score"))
+    return strong.groupBy("track_id").agg(F.round(N.clamp(total), 8).alias("tag_score"))
 
 
 def context_scores(fits: DataFrame, contexts: list[str]) -> DataFrame:
@@ -132,7 +132,7 @@ def metadata_score(terms: list[str]) -> Column:
         common = F.size(F.array_intersect(own, wanted))
         share = common / F.lit(float(max(1, len(terms))))
         value = (
-            F.when(common == 0, 0.0).when(common == F.size(own), 1.0).when(common == len(terms), 0.85)
+            F.when(own.isNull() | (common == 0), 0.0).when(common == F.size(own), 1.0).when(common == len(terms), 0.85)
             .when(share >= 0.5, 0.55).when(common >= 2, 0.35).otherwise(0.30)
         )
         scores.append(F.coalesce(F.lit(weight) * value, F.lit(0.0)))
