@@ -296,12 +296,12 @@ def _edges(word: str) -> Iterator[tuple[float, str]]:
 def restore_word(word: str, model: LetterModel) -> tuple[str, bool]:
     """(the cheapest reachable text, whether the word is garbled)."""
     own = implausibility(word, model)
-    escaped = re.search(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});|%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}", word)
+    escaped = len(re.findall(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});|%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}", word))
     # a capital A with tilde behind a small letter is an accented a whose second half was taken for a blank
     broken = "\ufffd" in word or any("\x80" <= c <= "\x9f" for c in word) or (word.endswith("Ã") and word[-2:-1].islower())
     if own < 0.45 and not escaped:
         return word, broken
-    best_cost, best = own + (0.5 if escaped else 0.0), word
+    best_cost, best = own + 0.8 * escaped, word
     visited = {hash(word)}
     queue: list[tuple[float, float, str]] = [(own, 0.0, word)]
     while queue:

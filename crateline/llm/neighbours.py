@@ -195,7 +195,7 @@ def near_classes(classes: DataFrame, k: int, radius: float, max_pivots: int = MA
 
 def nearest(vectors: DataFrame, k: int, radius: float, max_pivots: int = MAX_PIVOTS, kept: int = KEPT) -> DataFrame:
     """(id, neighbour, distance): the ``k`` nearest other rows within ``radius`` of every row of (id, vector)."""
-    vectors = cut_lineage(vectors)
+    vectors = cut_lineage(vectors.select("id", "vector"))
     # the k + 1 smallest ids of each distinct vector; the limit is applied before the shuffle too
     ranked = vectors.withColumn("_rank", F.row_number().over(Window.partitionBy("vector").orderBy("id")))
     members = ranked.where(F.col("_rank") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("first"))
