@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateline.functions import numeric as N
@@ -19,38 +19,40 @@ def one_row_per_track(features: DataFrame) -> DataFrame:
     return features.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(newest).select("track_id", "r.*")
 
 
-def soft_signals() -> dict[str, Column]:
-    """The soft thresholds from which tags and context scores are built."""
-    en, dn, ag, br = (F.col(c) for c in ("energy", "danceability", "aggression", "brightness"))
-    voc, ins = F.col("vocalness"), F.col("instrumentalness")
-    bpm = N.perceived_tempo(F.col("bpm"))
-    s = {
-        "low_aggr": N.max_score(ag, 0.35, 0.35),
-        "very_low_aggr": N.max_score(ag, 0.22, 0.30),
-        "med_energy": N.range_score(en, 0.25, 0.68, 0.30),
-        "low_mid_energy": N.range_score(en, 0.18, 0.58, 0.30),
-        "high_energy": N.min_score(en, 0.62, 0.35),
-        "dance": N.min_score(dn, 0.58, 0.35),
-        "groove": N.range_score(dn, 0.42, 0.82, 0.30),
-        "calm_dance": N.range_score(dn, 0.20, 0.62, 0.35),
-        "dark": N.max_score(br, 0.42, 0.35),
-        "balanced": N.range_score(br, 0.30, 0.68, 0.30),
-        "bright": N.min_score(br, 0.58, 0.35),
-        "warm": N.range_score(br, 0.28, 0.58, 0.35),
-        "dance_tempo": N.range_score(bpm, 110, 132, 35),
-        "mid_tempo": N.range_score(bpm, 80, 124, 45),
-        "fast_tempo": N.min_score(bpm, 125, 45),
-        "driving_tempo": N.range_score(bpm, 85, 150, 45),
-        "bg_energy": N.range_score(en, 0.14, 0.52, 0.25),
-        "soft_bright": N.max_score(br, 0.68, 0.30),
-        "soft_dance": N.max_score(dn, 0.68, 0.35),
-        "pushing": N.min_score(ag, 0.45, 0.45),
-    }
-    no_vocal = F.greatest(N.max_score(voc, 0.20, 0.30), N.min_score(ins, 0.70, 0.30))
-    s["no_vocal"] = F.when(voc.isNull() & ins.isNull(), 0.35).otherwise(no_vocal)
-    s["bg"] = s["low_mid_energy"] * s["low_aggr"]
-    s["any_energy"] = F.greatest(s["med_energy"], s["high_energy"])
-    return s
+def _range(x: str, low: float | None, high: float | None, softness: float) -> str:
+    """SQL of ``numeric.range_score``; one-sided where a bound is None."""
+    gaps = [f"{low}D - {x}"] * (low is not None) + [f"{x} - {high}D"] * (high is not None)
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 0D ELSE greatest(1D - greatest({', '.join(gaps)}, 0D) / {softness}D, 0D) END"
+
+
+#: The soft thresholds from which tags and context scores are built, as SQL over a row's features.
+SOFT_SIGNALS = {
+    "low_aggr": _range("aggression", None, 0.35, 0.35),
+    "very_low_aggr": _range("aggression", None, 0.22, 0.30),
+    "med_energy": _range("energy", 0.25, 0.68, 0.30),
+    "low_mid_energy": _range("energy", 0.18, 0.58, 0.30),
+    "high_energy": _range("energy", 0.62, None, 0.35),
+    "dance": _range("danceability", 0.58, None, 0.35),
+    "groove": _range("danceability", 0.42, 0.82, 0.30),
+    "calm_dance": _range("danceability", 0.20, 0.62, 0.35),
+    "dark": _range("brightness", None, 0.42, 0.35),
+    "balanced": _range("brightness", 0.30, 0.68, 0.30),
+    "bright": _range("brightness", 0.58, None, 0.35),
+    "warm": _range("brightness", 0.28, 0.58, 0.35),
+    "dance_tempo": _range("tempo", 110, 132, 35),
+    "mid_tempo": _range("tempo", 80, 124, 45),
+    "fast_tempo": _range("tempo", 125, None, 45),
+    "driving_tempo": _range("tempo", 85, 150, 45),
+    "bg_energy": _range("energy", 0.14, 0.52, 0.25),
+    "soft_bright": _range("brightness", None, 0.68, 0.30),
+    "soft_dance": _range("danceability", None, 0.68, 0.35),
+    "pushing": _range("aggression", 0.45, None, 0.45),
+    "no_vocal": (
+        "CASE WHEN vocalness IS NULL AND instrumentalness IS NULL THEN 0.35D "
+        f"ELSE greatest({_range('vocalness', None, 0.20, 0.30)}, {_range('instrumentalness', 0.70, None, 0.30)}) END"
+    ),
+    "heard": "vocalness IS NOT NULL OR instrumentalness IS NOT NULL",
+}
 
 
 #: The parts of each context score and how sure it is.
@@ -71,73 +73,67 @@ CONTEXTS: dict[str, tuple[tuple[str, ...], float]] = {
 KEPT_SCORE = 0.05
 
 
-def _mean(parts: list[Column]) -> Column:
-    return sum(parts[1:], parts[0]) / float(len(parts))
-
-
 def with_signals(features: DataFrame) -> DataFrame:
-    """(track_id, inputs, soft signals, scores and confidences of the contexts), each computed once and then named.
+    """(track_id, inputs, soft signals, scores of the contexts), each computed once and then named.
 
     Later steps refer to the names, so that the expressions do not multiply in the plan.
     """
     slim = features.select("track_id", "bpm", "energy", "danceability", "aggression", "brightness", "vocalness", "instrumentalness")
-    s = soft_signals()
-    first = {k: v for k, v in s.items() if k not in ("bg", "any_energy")}
-    out = slim.withColumns(first | {"heard": F.col("vocalness").isNotNull() | F.col("instrumentalness").isNotNull()})
-    out = out.withColumns({"bg": F.col("low_mid_energy") * F.col("low_aggr"), "any_energy": F.greatest("med_energy", "high_energy")})
-    scores = {f"fit_{name}": _mean([F.col(p) for p in parts]) for name, (parts, _) in CONTEXTS.items()}
-    quiet = scores["fit_no_vocals_background"]
-    scores["fit_no_vocals_background"] = F.when(F.col("heard"), quiet).otherwise(F.least(quiet, F.lit(0.45)))
-    return out.withColumns(scores)
-
-
-def confidence_of(context: str) -> Column:
-    """How sure a context score is; without vocal evidence some are less."""
+    out = slim.withColumn("tempo", N.perceived_tempo(F.col("bpm")))
+    out = out.selectExpr("*", *[f"{sql} AS {name}" for name, sql in SOFT_SIGNALS.items()])
+    out = out.selectExpr("*", "low_mid_energy * low_aggr AS bg", "greatest(med_energy, high_energy) AS any_energy")
+    scores = {name: f"({' + '.join(parts)}) / {len(parts)}D" for name, (parts, _) in CONTEXTS.items()}
+    quiet = scores["no_vocals_background"]
+    scores["no_vocals_background"] = f"CASE WHEN heard THEN {quiet} ELSE least({quiet}, 0.45D) END"
+    return out.selectExpr("*", *[f"{sql} AS fit_{name}" for name, sql in scores.items()])
+
+
+def _confidence(context: str) -> str:
+    """SQL of how sure a context score is; without vocal evidence some are less."""
     sure = CONTEXTS[context][1]
     unheard = {"focus": 0.56, "no_vocals_background": 0.34}.get(context)
-    return (F.lit(sure) if unheard is None else F.when(F.col("heard"), sure).otherwise(unheard)).cast("double")
+    return f"{sure}D" if unheard is None else f"CASE WHEN heard THEN {sure}D ELSE {unheard}D END"
 
 
 def context_fit(features: DataFrame) -> DataFrame:
     """(track_id, context, score, confidence, evidence) of scores of at least 0.05."""
     rows = []
     for name, (parts, _) in CONTEXTS.items():
-        evidence = F.create_map(*[x for p in parts for x in (F.lit(p), F.round(F.col(p), 4))])
-        rows.append(
-            F.struct(F.lit(name).alias("context"), F.round(f"fit_{name}", 6).alias("score"), confidence_of(name).alias("confidence"), evidence.alias("evidence"))
-        )
-    exploded = with_signals(features).select("track_id", F.explode(F.array(*rows)).alias("f")).select("track_id", "f.*")
+        evidence = ", ".join(f"'{p}', round({p}, 4)" for p in parts)
+        rows.append(f"named_struct('context', '{name}', 'score', round(fit_{name}, 6), 'confidence', {_confidence(name)}, 'evidence', map({evidence}))")
+    exploded = with_signals(features).selectExpr("track_id", f"inline(array({', '.join(rows)}))")
     return exploded.where(F.col("score") >= KEPT_SCORE)
 
 
+#: The derived tags, what they are read from and from when they count.
+TAG_RULES = (
+    ("low_energy", _range("energy", None, 0.38, 0.35), 0.35),
+    ("medium_energy", _range("energy", 0.30, 0.70, 0.30), 0.35),
+    ("high_energy", "high_energy", 0.35),
+    ("danceable", "dance", 0.35),
+    ("not_danceable", _range("danceability", None, 0.42, 0.35), 0.35),
+    ("low_aggression", "low_aggr", 0.35),
+    ("aggressive", _range("aggression", 0.62, None, 0.35), 0.75),
+    ("dark", "dark", 0.35),
+    ("bright", "bright", 0.35),
+    ("slow", _range("tempo", None, 95, 45), 0.35),
+    ("midtempo", _range("tempo", 85, 125, 45), 0.35),
+    ("fast", "fast_tempo", 0.35),
+    ("dance_tempo", "dance_tempo", 0.35),
+    ("background_friendly", "fit_background", 0.85),
+    ("focus_friendly", "fit_focus", 0.85),
+    ("lounge_friendly", "fit_lounge_bar", 0.70),
+    ("warm_lounge", "fit_warm_lounge", 0.70),
+    ("club_friendly", "fit_club", 0.70),
+    ("no_vocals_background", "CASE WHEN heard THEN fit_no_vocals_background ELSE 0D END", 0.78),
+)
+
+
 def feature_tags(features: DataFrame) -> DataFrame:
     """(track_id, source, tag, score): threshold tags and the tags of strong context scores."""
-    en, dn, ag = (F.col(c) for c in ("energy", "danceability", "aggression"))
-    bpm = N.perceived_tempo(F.col("bpm"))
-    tags: list[tuple[str, Column, float]] = [
-        ("low_energy", N.max_score(en, 0.38, 0.35), 0.35),
-        ("medium_energy", N.range_score(en, 0.30, 0.70, 0.30), 0.35),
-        ("high_energy", F.col("high_energy"), 0.35),
-        ("danceable", F.col("dance"), 0.35),
-        ("not_danceable", N.max_score(dn, 0.42, 0.35), 0.35),
-        ("low_aggression", F.col("low_aggr"), 0.35),
-        ("aggressive", N.min_score(ag, 0.62, 0.35), 0.75),
-        ("dark", F.col("dark"), 0.35),
-        ("bright", F.col("bright"), 0.35),
-        ("slow", N.max_score(bpm, 95, 45), 0.35),
-        ("midtempo", N.range_score(bpm, 85, 125, 45), 0.35),
-        ("fast", F.col("fast_tempo"), 0.35),
-        ("dance_tempo", F.col("dance_tempo"), 0.35),
-        ("background_friendly", F.col("fit_background"), 0.85),
-        ("focus_friendly", F.col("fit_focus"), 0.85),
-        ("lounge_friendly", F.col("fit_lounge_bar"), 0.70),
-        ("warm_lounge", F.col("fit_warm_lounge"), 0.70),
-        ("club_friendly", F.col("fit_club"), 0.70),
-        ("no_vocals_background", F.when(F.col("heard"), F.col("fit_no_vocals_background")).otherwise(0.0), 0.78),
-    ]
-    rows = [F.struct(F.lit(TAG_SOURCE).alias("source"), F.lit(tag).alias("tag"), score.alias("s"), F.lit(least).alias("least")) for tag, score, least in tags]
-    exploded = with_signals(features).select("track_id", F.explode(F.array(*rows)).alias("t")).where(F.col("t.s") >= F.col("t.least"))
-    return exploded.select("track_id", "t.source", "t.tag", F.round("t.s", 6).alias("score"))
+    rows = ", ".join(f"named_struct('tag', '{tag}', 's', {sql}, 'least', {least}D)" for tag, sql, least in TAG_RULES)
+    exploded = with_signals(features).selectExpr("track_id", f"inline(array({rows}))").where("s >= least")
+    return exploded.selectExpr("track_id", f"'{TAG_SOURCE}' AS source", "tag", "round(s, 6) AS score")
 
 
 #: The groups in which a profile lists its tags.

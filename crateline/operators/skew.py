@@ -15,8 +15,8 @@ def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
     Counted with map-side combining, so a hot key costs one row per partition.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    if total < 10 * parts:
+    total, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if total < 10 * parts or most * parts <= total:
         return []
     return [r[0] for r in counts.where(F.col("_n") * parts > total).select(key).collect()]
 
