@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from crateline.llm.mojibake import LetterModel, Restorer, letter_pairs
 from crateline.operators.skew import lookup
+from crateline.session import cut_lineage
 
 #: Letters of other alphabets and the Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԌԚԜаеѕіјкорсухһԁԛԝ", "ABESIJKMHOPCTYXGQWaesijkopcyxhdqw", strict=True))
@@ -289,7 +290,8 @@ def consistent_fields(fields: DataFrame, garbled_model: LetterModel | None = Non
     With a letter model, fields that were decoded wrongly are left out.
     """
     spark = fields.sparkSession
-    scanned = _scanned(fields, garbled_model).select("track_id", "field_name", "text", "_s.dirty", "_s.pieces")
+    # three steps read the scan, so it is written once
+    scanned = cut_lineage(_scanned(fields, garbled_model).select("track_id", "field_name", "text", "_s.dirty", "_s.pieces"))
     plain_words = fields.where(~F.col("text").rlike(r"[^\x20-\x7E]")).select(F.explode(F.split("text", " +")).alias("token"))
     other_words = scanned.select(F.explode("pieces").alias("p")).where(~F.col("p.dirty")).select("p.token")
     vocabulary = plain_words.unionByName(other_words).where(F.col("token") != "")
