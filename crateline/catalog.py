@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from crateline.functions import numeric as N
 from crateline.functions import text as X
 from crateline.operators import (
+    analysis,
     browse,
     claims,
     derive,
@@ -857,3 +858,49 @@ def eval_diversity(spark, folder):
 def eval_tag_agreement(spark, folder):
     """How far the results of every logged search carry expected tags."""
     return evaluation.tag_agreement(evaluation.result_rows(load(spark, folder, "search_events")), _tags(spark, folder), ["dark", "slow"], ["aggressive"])
+
+
+# --- pooling ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "pooled_vectors",
+    """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings)
+       SELECT label, CAST(p - 1 AS INTEGER) AS pos, round(avg(x), 6) AS x FROM x GROUP BY label, p""",
+)
+def pooled_vectors(spark, folder):
+    """Mean vector of every label."""
+    pooled = analysis.pool_vectors(load(spark, folder, "embeddings"), "label", None, "embedding")
+    return pooled.select("label", F.posexplode("vector").alias("pos", "x"))
+
+
+@query(
+    "pooled_scalars",
+    """SELECT codec, round(sum(duration_sec * file_size) / sum(file_size) FILTER (duration_sec IS NOT NULL), 6) AS duration_sec
+       FROM (SELECT codec, duration_sec, coalesce(file_size, 1)::DOUBLE AS file_size FROM tracks) GROUP BY codec""",
+)
+def pooled_scalars(spark, folder):
+    """Mean duration per codec, weighted by file size."""
+    return analysis.pool_chunks(load(spark, folder, "tracks"), "codec", "file_size", ["duration_sec"])
+
+
+@query(
+    "top_tags",
+    f"""WITH {_FEATURES}, {_TAGS} SELECT track_id, tag, score FROM tags WHERE score >= 0.5
+        QUALIFY row_number() OVER (PARTITION BY track_id, source ORDER BY score DESC, tag) <= 3""",
+)
+def top_tags(spark, folder):
+    """The three best tags of every track."""
+    return analysis.top_tags(analysis.best_tags(_tags(spark, folder)), 3, 0.5).select("track_id", "tag", "score")
+
+
+@query(
+    "eval_summary",
+    f"""WITH {_RESULTS}, {_RATED}, good AS (SELECT DISTINCT search_event_id AS search_id, track_id FROM rated WHERE rating > 0),
+        top AS (SELECT search_id, count(*) FILTER (g.track_id IS NOT NULL) > 0 AS passed FROM res r LEFT JOIN good g USING (search_id, track_id) WHERE rank <= 5 GROUP BY search_id)
+        SELECT 'liked_in_top' AS "check", count(*) AS cases, count(*) FILTER (passed) AS passed, round(avg(passed::INT), 6) AS pass_rate FROM top""",
+)
+def eval_summary(spark, folder):
+    """How many logged searches have a liked track among their first five."""
+    scored = evaluation.judged_precision(evaluation.result_rows(load(spark, folder, "search_events")), _judged(spark, folder))
+    return evaluation.summary(scored.select(F.lit("liked_in_top").alias("check"), (F.col("relevant") > 0).alias("passed")))

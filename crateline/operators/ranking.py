@@ -189,3 +189,22 @@ def first_of_identity(results: DataFrame, keys: list[Column]) -> DataFrame:
         out = out.withColumn(f"_k{i}", key).withColumn("_n", F.row_number().over(first))
         out = out.where((F.col("_n") == 1) | F.col(f"_k{i}").isNull()).drop("_n", f"_k{i}")
     return out
+
+
+def explanations() -> Column:
+    """Array of sentences that say which evidence a result rests on, strongest component first."""
+    said = {
+        "metadata": "metadata matches the query", "tags": "tags match", "context": "fits the wanted context", "features": "features lie in the wanted range",
+        "text": "the profile text matches", "semantic": "the description is similar", "feedback": "was rated well",
+    }
+    found = F.array_compact(
+        F.array(*[F.when(F.col(k) > 0, F.struct((-F.col(k)).alias("o"), F.format_string(f"{text} (%.2f)", F.col(k)).alias("s"))) for k, text in said.items()])
+    )
+    return F.transform(F.array_sort(found), lambda r: r["s"])
+
+
+def rank_reason() -> Column:
+    """The component with the highest score."""
+    kinds = ("metadata", "tags", "context", "features", "text", "semantic", "feedback")
+    best = F.array_max(F.array(*[F.struct(F.col(k).alias("v"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(kinds)]))
+    return F.when(best["v"] > 0, best["k"])
