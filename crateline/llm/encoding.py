@@ -40,6 +40,10 @@ def load_tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
+    if not os.path.exists(path):  # a worker that has the vocabularies as an installed package
+        import public_tokenizers
+
+        path = public_tokenizers.path(os.path.basename(path))
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
