@@ -129,7 +129,24 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 NEIGHBOURS, RADIUS = 5, 2.5
 
 
-@query("p4_found")
+_LIST_SQL = r"^\s*\[\s*-?[0-9.eE+-]+\s*(,\s*-?[0-9.eE+-]+\s*){12}\]\s*$"
+
+
+def _numbers_sql(column: str) -> str:
+    return rf"CAST(string_split(regexp_replace({column}, '[\[\]\s]', '', 'g'), ',') AS DOUBLE[])"
+
+
+@query(
+    "p4_found",
+    f"""
+    WITH u AS (
+      SELECT DISTINCT track_id, list_concat({_numbers_sql('mfcc_mean_json')}, {_numbers_sql('mfcc_std_json')}) AS v FROM audio_features
+      WHERE regexp_matches(mfcc_mean_json, '{_LIST_SQL}') AND regexp_matches(mfcc_std_json, '{_LIST_SQL}') AND track_id IS NOT NULL),
+    d AS (SELECT a.track_id AS a, b.track_id AS b, list_distance(a.v, b.v) AS d FROM u a JOIN u b ON a.track_id <> b.track_id WHERE list_distance(a.v, b.v) <= 2.5),
+    k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+    SELECT DISTINCT least(a, b) AS track_a, greatest(a, b) AS track_b FROM k
+    """,
+)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of tracks of which one is among the five nearest of the other, at most 2.5 apart."""
     vectors = neighbours.timbre_vectors(load(spark, folder, "audio_features"))
