@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 #: A key is hot when it holds more than one row in this many; so there can be no more hot keys than this.
 HOT_PARTS = 64
 
+#: Below this many rows no key can make a task long, and looking for hot ones would cost more than it saves.
+MIN_ROWS = 200_000
 
-def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
+
+def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS, min_rows: int | None = None) -> list:
     """The keys that hold more than ``1/parts`` of the rows: fewer than ``parts`` of them, whatever the data.
 
     Counted with map-side combining, so a hot key costs one row per partition.
     """
+    if df.count() < (MIN_ROWS if min_rows is None else min_rows):
+        return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     if total < 10 * parts or most * parts <= total:
@@ -21,14 +26,16 @@ def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
     return [r[0] for r in counts.where(F.col("_n") * parts > total).select(key).collect()]
 
 
-def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, out: str) -> DataFrame:
+def lookup(
+    df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, out: str, hot: list | None = None
+) -> DataFrame:
     """``df`` with column ``out``: ``table``'s ``value`` where ``table_key`` equals ``key``, else NULL.
 
     ``table_key`` is unique in ``table``. Rows of hot keys take their value from
     a literal map of at most ``HOT_PARTS`` entries and are not shuffled by their
-    key; all others are joined.
+    key; all others are joined. ``hot`` may bring the hot keys if they are known.
     """
-    hot = hot_keys(df, key)
+    hot = hot_keys(df, key) if hot is None else hot
     right = table.select(F.col(table_key).alias("_lookup_key"), F.col(value).alias(out))
     if not hot:
         return df.join(right, F.col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")

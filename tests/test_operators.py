@@ -42,7 +42,8 @@ def test_key_vectors_and_names(spark):
     assert value(spark, X.duration_text(F.lit(65.2))) == "1:05"
 
 
-def test_lookup_with_a_hot_key(spark):
+def test_lookup_with_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr("crateline.operators.skew.MIN_ROWS", 100)
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)] + [(9999, None)], "id int, k string")
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 3000, 6)], "key string, v int")
     assert hot_keys(rows, "k") == ["hot"]
