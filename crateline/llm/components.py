@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateline.operators.skew import lookup
+from crateline.operators.skew import hot_keys, lookup
 from crateline.session import cut_lineage
 
 
@@ -67,8 +67,9 @@ def connected_groups(pairs: DataFrame, left: str, right: str, vertex: str = "ver
         else:
             moved = lookup(labels, "parent", parents, "vertex", "parent", "_next")
             labels = cut_lineage(moved.select("vertex", F.coalesce("_next", "parent").alias("parent")))
-        ends = lookup(edges, "lo", parents, "vertex", "parent", "a")
-        ends = lookup(ends, "hi", parents, "vertex", "parent", "b")
+        hot = hot_keys(edges, "lo"), hot_keys(edges, "hi")  # both from the written edges, not from a join
+        ends = lookup(edges, "lo", parents, "vertex", "parent", "a", hot[0])
+        ends = lookup(ends, "hi", parents, "vertex", "parent", "b", hot[1])
         edges = cut_lineage(link_edges(ends.select("a", "b"), "a", "b"))
     if labels is None:
         labels = edges.select(F.col("lo").alias("vertex"), F.col("hi").alias("parent"))
