@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateline.operators.skew import hot_keys, lookup
+from crateline.operators.skew import MIN_ROWS, hot_keys, lookup
 from crateline.session import cut_lineage
 
 
@@ -47,8 +47,10 @@ def _parents(edges: DataFrame) -> DataFrame:
 
 def _jump(parents: DataFrame) -> DataFrame:
     """Parents replaced by their parents until every tree is a star."""
+    large = parents.count() >= MIN_ROWS  # the number of vertices stays the same through all jumps
     while True:
-        jumped = lookup(parents, "parent", parents.select("vertex", "parent"), "vertex", "parent", "grand")
+        hot = None if large else []
+        jumped = lookup(parents, "parent", parents.select("vertex", "parent"), "vertex", "parent", "grand", hot)
         jumped = cut_lineage(jumped)
         changed = jumped.where(F.col("grand") != F.col("parent")).limit(1).count()
         parents = jumped.select("vertex", F.col("grand").alias("parent"))
