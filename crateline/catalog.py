@@ -655,10 +655,16 @@ def pair_keys(spark, folder):
     )
 
 
+def _audio(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The audio embeddings of tracks, where the folder's embeddings are of tracks."""
+    found = load(spark, folder, "embeddings")
+    return found if {"track_id", "kind", "model", "vector"} <= set(found.columns) else None
+
+
 @query("pair_reports")
 def pair_reports(spark, folder):
     """Full evidence, decision and score of every reported pair."""
-    found = matching.reports(_pairs(spark, folder), load(spark, folder, "tracks"), _features(spark, folder))
+    found = matching.reports(_pairs(spark, folder), load(spark, folder, "tracks"), _features(spark, folder), audio=_audio(spark, folder))
     return found.select("track_a", "track_b", "decision", "identity_decision", "confidence", "confidence_score", "candidate_score", "candidate_kind")
 
 
@@ -669,7 +675,7 @@ def _first_id(spark: SparkSession, folder: str) -> str:
 @query("closest_matches")
 def closest_matches(spark, folder):
     """The tracks most like one track."""
-    found = matching.closest_matches(_first_id(spark, folder), load(spark, folder, "tracks"), _features(spark, folder))
+    found = matching.closest_matches(_first_id(spark, folder), load(spark, folder, "tracks"), _features(spark, folder), audio=_audio(spark, folder))
     return found.select("rank", "track_b", "decision", "candidate_score", "candidate_kind")
 
 

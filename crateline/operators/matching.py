@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 from functools import lru_cache
 
 import numpy as np
@@ -24,16 +26,27 @@ FEATURE_FIELDS = (
     "bpm", "energy", "valence", "danceability", "acousticness", "instrumentalness", "vocalness", "speechiness", "aggression", "brightness",
 )
 INFORMATIVE, LEAST_RESULTS = 0.03, 5
+AUDIO_KIND = "audio_clap"
 
 SIDE = (
     "id", "path", "content_hash", "chromaprint", "fingerprint_duration", "title", "artist", "album", "duration_sec", "artist_title_norm",
 )
 
 
-def with_sides(pairs: DataFrame, tracks: DataFrame, features: DataFrame, a: str = "track_a", b: str = "track_b") -> DataFrame:
-    """Pairs of ids with the columns of both tracks as structs ``a`` and ``b``; pairs of unknown tracks drop out."""
+def with_sides(
+    pairs: DataFrame, tracks: DataFrame, features: DataFrame, a: str = "track_a", b: str = "track_b", audio: DataFrame | None = None
+) -> DataFrame:
+    """Pairs of ids with the columns of both tracks as structs ``a`` and ``b``; pairs of unknown tracks drop out.
+
+    Decoded fingerprints are taken along where the tracks hold them (``chromaprint_frames``), audio embeddings
+    (track_id, kind, model, vector) where they are given.
+    """
     fields = [f for f in FEATURE_FIELDS if f in features.columns]
-    side = tracks.select(*SIDE).join(features.select(F.col("track_id").alias("id"), *fields), "id", "left")
+    side = tracks.select(*SIDE, *[c for c in ("chromaprint_frames",) if c in tracks.columns])
+    side = side.join(features.select(F.col("track_id").alias("id"), *fields), "id", "left")
+    if audio is not None:
+        vectors = audio.where(F.col("kind") == AUDIO_KIND).groupBy(F.col("track_id").alias("id"))
+        side = side.join(vectors.agg(F.collect_list(F.struct("model", "vector")).alias("audio")), "id", "left")
     packed = side.select("id", F.struct(*[F.col(c) for c in side.columns]).alias("side"))
     out = pairs.join(packed.withColumnsRenamed({"id": "_a", "side": "a"}), F.col(a) == F.col("_a"))
     return out.join(packed.withColumnsRenamed({"id": "_b", "side": "b"}), F.col(b) == F.col("_b")).drop("_a", "_b")
@@ -134,25 +147,83 @@ def frame_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def frame_evidence(a: Column, b: Column) -> Column:
+@lru_cache(maxsize=4096)
+def decode_frames(text: str | None) -> np.ndarray | None:
+    """The frames of a compressed fingerprint; None where the text is not one.
+
+    URL-safe base64 of the algorithm (1 byte), the number of frames (3 bytes) and, for each frame, the distances
+    between the bits that differ from the frame before: 3 bits each, 0 ends a frame, what 7 leaves over follows
+    behind all of them in 5 bits each.
+    """
+    try:
+        plain = (text or "").encode("ascii")
+        data = base64.b64decode(plain + b"=" * (-len(plain) % 4), altchars=b"-_", validate=True)
+    except (UnicodeEncodeError, binascii.Error):
+        return None
+    n = int.from_bytes(data[1:4], "big")
+    if len(data) < 4 or not n or (len(data) - 4) * 8 < 3 * n:
+        return None
+    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=4), bitorder="little").astype(np.int64)
+    steps = bits[: len(bits) // 3 * 3].reshape(-1, 3) @ np.array([1, 2, 4])
+    ends = np.flatnonzero(steps == 0)
+    if len(ends) < n:
+        return None
+    steps = steps[: ends[n - 1] + 1]
+    rest = bits[-(-3 * len(steps) // 8) * 8 :]
+    long = np.flatnonzero(steps == 7)
+    if len(rest) < 5 * len(long):
+        return None
+    steps[long] += rest[: 5 * len(long)].reshape(-1, 5) @ np.array([1, 2, 4, 8, 16])
+    frame = np.cumsum(steps == 0) - (steps == 0)
+    at = np.cumsum(steps)
+    at -= np.concatenate([[0], at[ends[: n - 1]]])[frame]
+    if at.max() > 32:
+        return None
+    changed = np.zeros(n, dtype=np.int64)
+    np.bitwise_or.at(changed, frame[steps > 0], 1 << (at[steps > 0] - 1))
+    return np.bitwise_xor.accumulate(changed)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def decoded_frames(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: decode_frames(x) if isinstance(x, str) else None)
+
+
+def _frames(side: str, fields: list[str]) -> Column:
+    """The stored frames of a track before those of its fingerprint text."""
+    decoded, stored = decoded_frames(F.col(f"{side}.chromaprint")), F.col(f"{side}.chromaprint_frames") if "chromaprint_frames" in fields else None
+    return decoded if stored is None else F.when(F.size(stored) > 0, stored.cast("array<bigint>")).otherwise(decoded)
+
+
+def frame_evidence(a: Column, b: Column, same: Column) -> Column:
+    """Similarity of two decoded fingerprints; ``same`` where their texts are equal."""
     score = F.round(frame_similarity(a, b), 6)
-    status = F.when(score.isNull(), "missing").when(score > 0.999, "same").when(score >= FRAME_SIMILAR, "similar").when(score >= FRAME_RELATED, "related")
-    return evidence(status.otherwise("dissimilar"), score)
+    status = F.when(score.isNull(), "missing").when(F.coalesce(same, F.lit(False)), "same").when(score >= FRAME_SIMILAR, "similar")
+    return evidence(status.when(score >= FRAME_RELATED, "related").otherwise("dissimilar"), score)
 
 
 def audio_evidence(a: Column, b: Column) -> Column:
-    """Similarity of two audio embeddings of one model."""
-    score = F.round(N.cosine(a, b), 6)
-    return evidence(F.when(score.isNull(), "missing").when(score >= AUDIO_SIMILAR, "similar").otherwise("dissimilar"), score)
+    """The best similarity of two lists of audio embeddings (model, vector) under one model of both."""
+    own, other = [F.coalesce(x, F.array().cast("array<struct<model:string,vector:array<double>>>")) for x in (a, b)]
+    shared = F.flatten(
+        F.transform(own, lambda x: F.transform(F.filter(other, lambda y: y["model"] == x["model"]), lambda y: N.cosine(x["vector"], y["vector"])))
+    )
+    score = F.round(F.array_max(F.array_compact(shared)), 6)
+    status = F.when(F.size(shared) == 0, "missing").when(score.isNull(), "error").when(score >= AUDIO_SIMILAR, "similar")
+    return evidence(status.otherwise("dissimilar"), score)
 
 
 def with_evidence(sides: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """One struct<status, score> per source of evidence."""
-    fields = [f for f in FEATURE_FIELDS if f in sides.schema["a"].dataType.fieldNames()]
+    held = sides.schema["a"].dataType.fieldNames()
+    fields = [f for f in FEATURE_FIELDS if f in held]
+    audio = audio_evidence(F.col("a.audio"), F.col("b.audio")) if "audio" in held else evidence(F.lit("missing"), F.lit(0.0))
+    alike = F.col("a.chromaprint") == F.col("b.chromaprint")
     stems = [X.filename_stem(F.col(f"{s}.path")) for s in "ab"]
     return (
         sides.withColumn("content_hash", key_evidence(F.col("a.content_hash"), F.col("b.content_hash"), 1.0))
         .withColumn("chromaprint", key_evidence(F.col("a.chromaprint"), F.col("b.chromaprint"), 0.96))
+        .withColumn("fingerprint_similarity", frame_evidence(_frames("a", held), _frames("b", held), alike))
         .withColumn("name", name_evidence())
         .withColumn("duration", duration_evidence(tolerance))
         .withColumn("artist_similarity", similarity_evidence("artist"))
@@ -160,6 +231,7 @@ def with_evidence(sides: DataFrame, tolerance: float = 2.0) -> DataFrame:
         .withColumn("album_similarity", similarity_evidence("album"))
         .withColumn("filename_stem", key_evidence(*stems, 0.35))
         .withColumn("feature_similarity", feature_evidence(fields))
+        .withColumn("audio_embedding", audio)
         .withColumn("version", version_evidence())
     )
 
@@ -168,8 +240,9 @@ def decision() -> Column:
     """struct<decision, identity, confidence, score> of the first rule that holds; metadata alone never proves identity."""
     s = lambda source: F.col(f"{source}.status")
 
-    def said(name: str, identity: str, confidence: str, score: float) -> Column:
-        return F.struct(F.lit(name).alias("decision"), F.lit(identity).alias("identity"), F.lit(confidence).alias("confidence"), F.lit(float(score)).alias("score"))
+    def said(name: str, identity: str, confidence: str, score: float | Column) -> Column:
+        value = score if isinstance(score, Column) else F.lit(float(score))
+        return F.struct(F.lit(name).alias("decision"), F.lit(identity).alias("identity"), F.lit(confidence).alias("confidence"), value.alias("score"))
 
     timed = s("duration") == "match"
     return (
@@ -182,51 +255,93 @@ def decision() -> Column:
         .when(s("artist_title_norm") == "match", said("possible_metadata_match", "possible", "low", 0.45))
         .when((s("filename_stem") == "match") & timed, said("possible_metadata_match", "possible", "low", 0.52))
         .when(s("filename_stem") == "match", said("possible_metadata_match", "possible", "low", 0.25))
+        .when(
+            s("audio_embedding") == "similar",
+            said("sound_similar_only", "unknown", "low", F.round(F.greatest(F.col("audio_embedding.score"), F.lit(0.0)) * 0.5, 6)),
+        )
         .otherwise(said("insufficient_evidence", "unknown", "low", 0.0))
     )
 
 
+#: Statuses whose score counts towards the candidate; of sources that measure a distance every score counts.
+COUNTING = {"fingerprint_similarity": ("same", "similar", "related")}
+MEASURED = frozenset({"duration", "feature_similarity", "audio_embedding"})
+
+
+def source_score(source: str) -> Column:
+    """What a source says for the pair, 0 to 1; 0 where it says nothing or speaks against it."""
+    score = F.least(F.greatest(F.col(f"{source}.score"), F.lit(0.0)), F.lit(1.0))
+    if source in MEASURED:
+        return F.when(F.col(f"{source}.status").isin("missing", "error"), 0.0).otherwise(score)
+    return F.when(F.col(f"{source}.status").isin(*COUNTING.get(source, ("match", "partial"))), score).otherwise(0.0)
+
+
 def candidate_score(sources: list[str]) -> Column:
     """The weighted sum of the evidence, at most 1."""
-    parts = [F.lit(WEIGHTS[x]) * F.col(f"{x}.score") for x in sources]
+    parts = [F.lit(WEIGHTS[x]) * source_score(x) for x in sources]
     return F.round(F.least(sum(parts[1:], parts[0]), F.lit(1.0)), 6)
 
 
-def candidate_kind() -> Column:
-    """What kind of relation the strongest evidence speaks for."""
-    s = lambda source: F.col(f"{source}.status")
-    return (
-        F.when(s("content_hash") == "match", "identical_file").when(s("chromaprint") == "match", "same_recording")
-        .when(s("version") == "conflict", "other_version").when((s("name") == "match") & (s("artist_similarity") == "match"), "same_work")
-        .when(s("name") == "match", "same_title").when(s("artist_similarity") == "match", "same_artist")
-        .when(s("feature_similarity") == "similar", "similar_sound").otherwise("weak")
-    )
+def candidate_class() -> Column:
+    """struct<kind, strength, summary>: what kind of relation the strongest evidence speaks for. Reads the columns
+    ``decision`` and ``candidate_score`` besides those of the sources."""
+    x = {source: source_score(source) for source in SOURCES}
+    decided = lambda name: F.col("decision") == name
+    titled, timed = x["name"] >= 0.88, x["duration"] >= 0.75
+    rules = [
+        (decided("exact_duplicate") | (x["content_hash"] >= 1.0), "exact_duplicate", "strong", "Exact duplicate: same content hash"),
+        (decided("same_recording") | (x["chromaprint"] >= 0.95), "same_recording", "strong", "Same recording: exact fingerprint match"),
+        (decided("possible_recording_match") | (x["fingerprint_similarity"] >= FRAME_SIMILAR), "possible_recording_match", "strong", "Possible recording match: close fingerprint"),
+        (x["fingerprint_similarity"] >= FRAME_RELATED, "soundwave_related", "medium", "Soundwave-related: partial fingerprint overlap"),
+        (decided("related_version_not_duplicate"), "related_version", "medium", "Related version/remix/live/edit, not a duplicate"),
+        (titled & (x["artist_similarity"] >= 0.92) & (timed | (x["feature_similarity"] >= 0.90)), "same_title_artist", "strong", "Same/very close title and artist"),
+        (titled & (x["artist_similarity"] >= 0.92), "same_title_artist", "medium", "Same/very close title and artist"),
+        (titled & (x["artist_title_norm"] > 0), "same_title_metadata", "medium", "Same/very close title with metadata support"),
+        (titled, "same_title", "medium", "Same/very close title"),
+        (x["name"] >= 0.70, "close_title", "medium", "Close title match"),
+        ((x["artist_similarity"] >= 0.92) & (timed | (x["album_similarity"] >= 0.80)), "same_artist_context", "medium", "Same artist with duration/album support"),
+        (x["filename_stem"] >= 0.30, "filename_match", "medium", "Same/close filename"),
+        (x["audio_embedding"] >= AUDIO_SIMILAR, "audio_similar", "weak", "Audio embedding similarity only"),
+        (x["feature_similarity"] >= 0.90, "feature_similar", "weak", "Feature-similar fallback"),
+        (timed, "duration_similar", "weak", "Duration-similar fallback"),
+        (F.col("candidate_score") > 0, "nearest_fallback", "weak", "Weak nearest fallback"),
+        (F.lit(True), "no_nearby_signal", "weak", "No strong nearby signal"),
+    ]
+    said = [(c, F.struct(F.lit(k).alias("kind"), F.lit(strength).alias("strength"), F.lit(text).alias("summary"))) for c, k, strength, text in rules]
+    chain = F.when(*said[0])
+    for rule in said[1:]:
+        chain = chain.when(*rule)
+    return chain
 
 
 SOURCES = [
-    "content_hash", "chromaprint", "name", "duration", "artist_similarity", "artist_title_norm", "album_similarity", "filename_stem", "feature_similarity",
+    "content_hash", "chromaprint", "fingerprint_similarity", "name", "duration", "artist_similarity", "artist_title_norm", "album_similarity", "filename_stem",
+    "feature_similarity", "audio_embedding",
 ]
 
 
-def reports(pairs: DataFrame, tracks: DataFrame, features: DataFrame, tolerance: float = 2.0) -> DataFrame:
+def reports(pairs: DataFrame, tracks: DataFrame, features: DataFrame, tolerance: float = 2.0, audio: DataFrame | None = None) -> DataFrame:
     """Evidence, decision, score and kind of every pair (track_a, track_b)."""
-    rows = with_evidence(with_sides(pairs, tracks, features), tolerance).withColumn("d", decision())
-    return rows.select(
+    rows = with_evidence(with_sides(pairs, tracks, features, audio=audio), tolerance).withColumn("d", decision())
+    rows = rows.select(
         "track_a", "track_b", *SOURCES, "version", F.col("d.decision").alias("decision"), F.col("d.identity").alias("identity_decision"),
         F.col("d.confidence").alias("confidence"), F.col("d.score").alias("confidence_score"), candidate_score(SOURCES).alias("candidate_score"),
-        candidate_kind().alias("candidate_kind"),
     )
+    rows = rows.withColumn("c", candidate_class())
+    return rows.select("*", *[F.col(f"c.{x}").alias(f"candidate_{x}") for x in ("kind", "strength", "summary")]).drop("c")
 
 
-def closest_matches(source_id: str, tracks: DataFrame, features: DataFrame, limit: int = 10, tolerance: float = 2.0) -> DataFrame:
+def closest_matches(
+    source_id: str, tracks: DataFrame, features: DataFrame, limit: int = 10, tolerance: float = 2.0, audio: DataFrame | None = None
+) -> DataFrame:
     """The tracks most like one track: informative ones first, padded with the nearest to at least five.
 
     The source is a single row, looked up by id and joined by key with the ids to
     compare, so nothing is multiplied.
     """
     others = tracks.where((F.col("id") != source_id) & F.col("missing_at").isNull()).select(F.lit(source_id).alias("track_a"), F.col("id").alias("track_b"))
-    found = reports(others, tracks, features, tolerance)
-    informative = (F.col("candidate_score") >= INFORMATIVE) & (F.col("candidate_kind") != "weak")
+    found = reports(others, tracks, features, tolerance, audio)
+    informative = (F.col("candidate_score") >= INFORMATIVE) | (F.col("confidence_score") > 0)
     order = [F.desc("informative"), F.desc("confidence_score"), F.desc("candidate_score"), F.desc("name.score"), F.asc("track_b")]
     best = found.withColumn("informative", informative).orderBy(*order).limit(max(limit, LEAST_RESULTS))
     place = F.row_number().over(Window.orderBy(*order))
