@@ -6,9 +6,12 @@ function word was. A trigram model with Witten-Bell smoothing is counted over
 the prose of all documents, that is over their lines that read like sentences,
 profiles or numbered lists. Every window of a document is then scored. Its
 perplexity is abnormally high where words run on without the grammar of prose
-(keywords, tags, names, links), and its words' own perplexity is abnormally low
-where a line keeps repeating the words it has just used. A page is flagged if
-most of its words stand in such windows.
+(keywords, tags, names, links). The content words of a window are also scored
+by a cache model of the document itself, whose pairs and words of the last
+``REPEAT_REACH`` places are cheap, over the ends of lines; their perplexity is
+abnormally low where a phrase keeps returning, however fluent the rest. Lines of
+verse that return whole or but for a few words are refrains, which the cache does
+not count. A page is flagged if most of its words stand in such windows.
 
 Tokenising is the only per-token work in Python; it is done once, the class
 numbers are written to the checkpoint folder, and counting and scoring run on
@@ -76,7 +79,9 @@ N_CLASSES = len(CLASSES)
 
 #: Parameters of the decision.
 WINDOW, MIN_WORDS, MAX_BITS, HIGH_BITS = 20, 8, 10.0, 2.8
-REPEATED_SHARE, REPEATED_BITS, REPEAT_REACH, FLAG_SHARE = 0.45, 2.3, 30, 0.5
+LOW_BITS, LEAST_CONTENT, REPEAT_REACH, FLAG_SHARE = 4.0, 5, 30, 0.5
+#: Bits of a word in the cache model by mark: no content word, new, seen, seen behind the same word.
+CACHE_BITS = np.array([0.0, 10.0, 5.0, 1.0])
 MAX_NGRAMS, UNSEEN = 2_000_000, 1 / 600
 
 _WORDLIKE = np.zeros(N_CLASSES, dtype=bool)
@@ -88,25 +93,21 @@ def _gap_bucket(gap: int) -> int:
     return (0, 1, 2, 3, 4, 4, 5, 5, 5)[gap] if gap < 9 else 6
 
 
-def _line(text: str, start_gap: int) -> tuple[list[int], list[int], list[str], int, Counter]:
-    """(classes, repetition marks, words, gap at the end, kinds) of a line. Marks: 0 no content word, 1 new, 2 repeated."""
-    classes, marks, words, kinds = [], [], [], Counter()
-    gap, last_at = start_gap, {}
+def _line(text: str, start_gap: int) -> tuple[list[int], list[tuple[int, str]], list[str], int, Counter]:
+    """(classes, content words and their places, words, gap at the end, kinds) of a line."""
+    classes, content, words, kinds = [], [], [], Counter()
+    gap = start_gap
     for m in _TOKEN.finditer(text):
         kind, s = m.lastgroup, m.group()
-        mark = 0
         if kind == "p":
             classes.append(CLASSES.get(s, CLASSES["P"]) if s in _SIGNS else CLASSES["P"])
-            marks.append(0)
             continue
         if kind == "t":
             classes.append(CLASSES["T"])
-            marks.append(0)
             continue
         word = s.lower()
         if kind == "w" and word in FUNCTION_WORDS:
             classes.append(CLASSES["f:" + word])
-            marks.append(0)
             words.append(word)
             gap = 0
             continue
@@ -115,7 +116,6 @@ def _line(text: str, start_gap: int) -> tuple[list[int], list[int], list[str], i
             if parts[0] in FUNCTION_WORDS:
                 name = f"e:{parts[0]}{'f' if parts[-1] in FUNCTION_WORDS else 'w'}"
                 classes.append(CLASSES[name])
-                marks.append(0)
                 words.append(word)
                 gap = 0
                 continue
@@ -133,14 +133,44 @@ def _line(text: str, start_gap: int) -> tuple[list[int], list[int], list[str], i
             kinds[shape] += 1
             word = word.replace(".", "") if shape == "O" else "" if shape in "UN" else word
         if shape not in "UN":
-            at = len(classes)
-            mark = 2 if at - last_at.get(word, -1000) <= REPEAT_REACH else 1
-            last_at[word] = at
+            content.append((len(classes), word))
         words.append(word)
         classes.append(CLASSES[f"{shape}{_gap_bucket(gap)}"])
-        marks.append(mark)
         gap += 1
-    return classes, marks, words, gap, kinds
+    return classes, content, words, gap, kinds
+
+
+def _refrain(a: list[str], b: list[str]) -> bool:
+    """Whether two lines have as many content words and at least half of them in the same places."""
+    return len(a) == len(b) and 2 * sum(x == y for x, y in zip(a, b, strict=True)) >= len(a)
+
+
+class _Cache:
+    """The content words and pairs of a document with the places and lines they last stood in."""
+
+    def __init__(self) -> None:
+        self.last: dict = {}
+        self.lines: list[list[str]] = []
+
+    def marks(self, start: int, content: list[tuple[int, str]], verse: bool) -> list[int]:
+        """The mark of each content word of the next line, which starts at a place of the document: 1 new, 2 seen, 3 seen behind the same word."""
+        own, number, out, before = [w for _, w in content], len(self.lines), [], ""
+        self.lines.append(own)
+        refrains: dict[int, bool] = {}
+
+        def seen(key: object, at: int) -> bool:
+            place, line = self.last.get(key, (-1000, number))
+            if at - place > REPEAT_REACH:
+                return False
+            if line != number and verse and line not in refrains:
+                refrains[line] = _refrain(own, self.lines[line])
+            return not refrains.get(line, False)
+
+        for at, word in content:
+            out.append(3 if seen((before, word), start + at) else 2 if seen(word, start + at) else 1)
+            self.last[word] = self.last[before, word] = (start + at, number)
+            before = word
+        return out
 
 
 def _is_prose(text: str, words: list[str], kinds: Counter, numbered: bool) -> bool:
@@ -165,14 +195,22 @@ def tokenise(text: str | None, may_teach: bool = True) -> tuple[list[int], list[
     """(classes, repetition marks) of a whole text; each line ends with END or END_PROSE."""
     classes: list[int] = []
     marks: list[int] = []
-    gap = 0
-    lines = [x for x in re.split(r"[\n\r\x85  ]+", text or "") if x.strip()]
+    gap, cache = 0, _Cache()
+    lines = [x for x in re.split(r"[\n\r\x85\u2028\u2029]+", text or "") if x.strip()]
     numbered = sum(bool(_NUMBERED.match(x)) for x in lines) >= 3
     for line in lines:
-        c, k, words, gap, kinds = _line(line, gap)
-        prose = may_teach and _is_prose(line, words, kinds, numbered)
+        c, content, words, gap, kinds = _line(line, gap)
+        found = cache.marks(len(classes), content, len(words) > len(content))
+        stuffed = len(found) >= 3 and CACHE_BITS[found].mean() < LOW_BITS
+        prose = may_teach and not stuffed and _is_prose(line, words, kinds, numbered)
+        k = [0] * len(c)
+        for (at, _), mark in zip(content, found, strict=True):
+            k[at] = mark
         classes += [*c, END_PROSE if prose else END]
         marks += [*k, 0]
+    content_marks = [k for k in marks if k]
+    if len(content_marks) >= LEAST_CONTENT and CACHE_BITS[content_marks].mean() < LOW_BITS:
+        classes = [END if c == END_PROSE else c for c in classes]
     return classes, marks
 
 
@@ -238,11 +276,11 @@ def score(classes: np.ndarray, marks: np.ndarray, bits: np.ndarray) -> tuple[int
     a = np.maximum(0, np.minimum(starts, n - WINDOW))
     b = np.minimum(a + WINDOW, n)
     total = lambda x: np.concatenate([[0], np.cumsum(x)])
-    c_bits, c_new, c_rep, c_word = total(bits), total(marks > 0), total(marks == 2), total(weight)
+    c_bits, c_content, c_cache, c_word = total(bits), total(marks > 0), total(CACHE_BITS[marks]), total(weight)
     mean = (c_bits[b] - c_bits[a]) / (b - a)
-    content = c_new[b] - c_new[a]
-    repeated = np.where(content >= 5, (c_rep[b] - c_rep[a]) / np.maximum(content, 1), 0.0)
-    abnormal = (mean > HIGH_BITS) | ((repeated > REPEATED_SHARE) & (mean > REPEATED_BITS))
+    content = c_content[b] - c_content[a]
+    cached = (c_cache[b] - c_cache[a]) / np.maximum(content, 1)
+    abnormal = (mean > HIGH_BITS) | ((content >= LEAST_CONTENT) & (cached < LOW_BITS))
     own = c_word[np.minimum(starts + WINDOW, n)] - c_word[starts]
     return int(weight.sum()), int(own[abnormal].sum()), float(bits.mean())
 

@@ -287,3 +287,17 @@ def test_model_matches_plain_counts():
     model = webspam.ProseModel(found, n)
     a, b = model.bits(np.array([(5 * webspam.N_CLASSES + 6) * webspam.N_CLASSES + 7, (5 * webspam.N_CLASSES + 6) * webspam.N_CLASSES + 99]))
     assert a < 2 < b and line.tolist() == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_fluent_repetition_is_abnormally_low():
+    def share(text):
+        classes, marks = (np.array(x) for x in webspam.tokenise(text))
+        words, abnormal, _ = webspam.score(classes, marks, np.ones(len(classes)))  # fluent everywhere
+        return abnormal / words
+
+    within = "Our cheap vinyl is cheap vinyl, and the cheap vinyl you want is this cheap vinyl. " * 6
+    lines = ["The cheap vinyl is here.", "We have cheap vinyl and more cheap vinyl.", "So what is cheap vinyl?", "This is the cheap vinyl you want, and it is cheap vinyl."] * 6
+    verses = ["Leave the window open when you go", "And we were tender once again", "Hold the river, hold the line", "And we were distant once again"] * 6
+    assert share(within) > webspam.FLAG_SHARE and share("\n".join(lines)) > webspam.FLAG_SHARE
+    assert share("\n".join(verses)) == 0
+    assert webspam.END_PROSE not in webspam.tokenise("\n".join(lines))[0] and webspam.END_PROSE in webspam.tokenise("\n".join(verses))[0]
