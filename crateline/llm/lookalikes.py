@@ -1,27 +1,31 @@
 """Bringing text that looks the same into one consistent form.
 
-Words of a table that are in form make up a vocabulary, kept as tries. A word
-that is out of form is looked up by a weighted edit automaton that walks the
-trie and the word together: look-alike, compatibility and composed letters match
-at no cost, ignorable characters are skipped at no cost, another case or accent
-costs a part of an edit, and anything else is more than the budget. The
-cheapest spelling, then the one with fewest substitutions, then the most
-frequent one is taken as canonical; a word without a match is normalised by table.
+Words of a table that are in form make up a vocabulary, kept as tries. Every
+word with a character outside plain ASCII is read by a weighted edit automaton
+that walks the trie and the word together: look-alike letters match, letters of
+compatibility forms and letters with marks apart are composed, and ignorable
+characters are skipped, all at no cost but counted as free steps; another case
+or accent costs a part of an edit, and anything else is more than the budget.
+The cheapest spelling, then the one with fewest free steps, then the most
+frequent one is taken as canonical. A word is out of form if its reading took a
+free step; a word in form is in the vocabulary and reads itself without any. A
+word without a match is normalised and judged by table.
 
 Tries are built per bucket of words. The bucket is a hash of the word's skeleton
 (plain Latin letters of its look), which no free or cheap step of the automaton
 changes, so a word and all its possible matches are always in one bucket, and
-buckets are even because each distinct word is there once.
+buckets are even because each distinct word is there once. Only words whose
+skeleton some asked word has enter a trie, so a trie does not grow with the
+plain part of the vocabulary.
 
 Defined results: NULL texts stay out; empty and ASCII texts without control
 characters are in form; punctuation, emoji sequences and whole words of another
-script are in order; texts are taken whole.
+script are in order; texts are taken whole; equal rows come out once.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crateline.llm.mojibake import LetterModel, Restorer, letter_pairs
+from crateline.llm.mojibake import LetterModel, letter_pairs, restored
 from crateline.operators.skew import lookup
 from crateline.session import cut_lineage
 
@@ -121,6 +125,37 @@ def out_of_form(text: str) -> bool:
     return False
 
 
+def clusters(word: str) -> list[tuple[list[str], int]]:
+    """What the automaton reads: (plain letters, free steps) of each character with the marks that belong to it.
+
+    An ignorable character has no letters and is one free step; a letter in a
+    compatibility form, or one with marks apart that compose, is one too.
+    """
+    out: list[tuple[list[str], int]] = []
+    i, n = 0, len(word)
+    while i < n:
+        if is_invisible(word[i]) and not _in_sequence(word, i):
+            out.append(([], 1))
+            i += 1
+            continue
+        j = i + 1
+        while j < n and _joins(word[j]) and not is_invisible(word[j]):
+            j += 1
+        written = word[i:j]
+        plain = written[0] + written[1:].replace("゛", "゙").replace("゜", "゚")
+        plain = "".join(unicodedata.normalize("NFKC", c) if is_compatibility(c) else c for c in plain)
+        letters = unicodedata.normalize("NFC", plain)
+        out.append((list(letters), int(letters != written)))
+        i = j
+    return out
+
+
+@lru_cache(maxsize=65_536)
+def _joins(c: str) -> bool:
+    """Whether a character belongs to the letter before it: a mark, a voicing sign, a later part of a syllable."""
+    return unicodedata.category(c)[0] == "M" or c in "゛゜ﾞﾟ" or 0x1161 <= ord(c) <= 0x11FF
+
+
 def units(word: str) -> list[str]:
     """The visible letters of a word, each in plain form with its marks composed."""
     seen = "".join(c for i, c in enumerate(word) if not is_invisible(c) or _in_sequence(word, i))
@@ -162,25 +197,30 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = count
 
-    def canonical(self, word: str) -> str | None:
-        """The spelling that a word stands for, found by the weighted edit automaton; None without one."""
-        seen = units(word)
-        # states of the automaton after each letter: (node, spelling, cost, substitutions)
+    def canonical(self, word: str) -> tuple[str, int] | None:
+        """(the spelling that a word stands for, free steps), found by the weighted edit automaton; None without one."""
+        # states of the automaton: (node, spelling, cost, free steps)
         states: list[tuple[dict, str, float, int]] = [(self.root, "", 0.0, 0)]
-        for c in seen:
-            following = []
-            for node, spelled, cost, swapped in states:
-                for letter, child in node.items():
-                    if letter == "":
-                        continue
-                    step = _step(c, letter)
-                    if cost + step <= BUDGET:
-                        following.append((child, spelled + letter, cost + step, swapped + (letter != c)))
-            states = following
-            if not states:
-                return None
-        ends = [(cost, swapped, -node[""], spelled) for node, spelled, cost, swapped in states if "" in node]
-        return min(ends)[3] if ends else None
+        for letters, free in clusters(word):
+            if free:
+                states = [(node, spelled, cost, steps + free) for node, spelled, cost, steps in states]
+            for c in letters:
+                following = []
+                for node, spelled, cost, steps in states:
+                    for letter, child in node.items():
+                        if letter == "":
+                            continue
+                        step = _step(c, letter)
+                        if cost + step <= BUDGET:
+                            following.append((child, spelled + letter, cost + step, steps + (letter != c and not step)))
+                states = following
+                if not states:
+                    return None
+        ends = [(cost, steps, -node[""], spelled) for node, spelled, cost, steps in states if "" in node]
+        if not ends:
+            return None
+        _, steps, _, spelled = min(ends)
+        return spelled, steps
 
 
 @lru_cache(maxsize=200_000)
@@ -221,92 +261,86 @@ def _one_alphabet(run: list[str]) -> str:
     return "".join(run)
 
 
-PIECE = T.StructType([T.StructField("token", T.StringType()), T.StructField("dirty", T.BooleanType())])
-SCANNED = T.StructType(
-    [
-        T.StructField("dirty", T.BooleanType()),
-        T.StructField("pieces", T.ArrayType(PIECE)),
-    ]
-)
-
+#: Texts with anything but printable ASCII, what parts words (all white space, as Python sees it), and spaces other than U+0020.
+_ODD = r"[^\x20-\x7E]"
+_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+_ODD_BLANK = r"(?U)[\s\x1c-\x1f&&[^ ]]"
 
-def scan_text(text: str) -> tuple[bool, list[tuple[str, bool]]]:
-    """(whether a text is out of form, its words with the same for each)."""
-    pieces = [(w, out_of_form(w)) for w in text.split()]
-    odd_space = any(c.isspace() and c != " " for c in text)
-    return odd_space or any(d for _, d in pieces) or out_of_form(text), pieces
+DESCRIBED = T.StructType([T.StructField("key", T.StringType()), T.StructField("in_form", T.BooleanType())])
 
 
-def _scanned(fields: DataFrame, model: LetterModel | None) -> DataFrame:
-    """The fields with non-ASCII or control characters, scanned; fields that are garbled stand as they are."""
+def read_word(trie: Trie, word: str) -> tuple[str, int]:
+    """(form, free steps) of a word by the automaton, and by table where it finds no spelling."""
+    found = trie.canonical(word)
+    if found is not None:
+        return found
+    form = by_table(word)
+    return form, int(form != word or out_of_form(word))
 
-    @F.pandas_udf(SCANNED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(model) if model else None
-        for batch in batches:
-            rows = []
-            for text in batch:
-                dirty, pieces = scan_text(text)
-                if dirty and restorer and restorer.restore(text)[1]:
-                    dirty, pieces = False, []
-                rows.append((dirty, pieces))
-            yield pd.DataFrame(rows, columns=["dirty", "pieces"], index=batch.index)
 
-    return fields.where(F.col("text").rlike(r"[^\x20-\x7E]")).withColumn("_s", run("text"))
+def vocabulary_words(fields: DataFrame) -> DataFrame:
+    """(token, n, key, in_form): every distinct word of (text) with its skeleton; ASCII words never reach Python."""
+    odd = F.col("text").rlike(_ODD)
+    plain_words = fields.where(~odd).select(F.explode(F.split("text", " +")).alias("token"))
+    other_words = fields.where(odd).select(F.explode(F.split("text", _BLANKS)).alias("token"))
+    words = plain_words.unionByName(other_words).where(F.col("token") != "")
+    words = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
+    @F.pandas_udf(DESCRIBED)
+    def described(token: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": [skeleton(t) for t in token], "in_form": [not out_of_form(t) for t in token]}, columns=["key", "in_form"])
 
-def _bucketed(words: DataFrame, buckets: int) -> DataFrame:
-    """``words`` (token, ...) with the bucket of their skeleton; ASCII words never reach Python."""
-    of = F.pandas_udf(lambda s: s.map(skeleton), T.StringType())
-    plain = words.where(~F.col("token").rlike(r"[^\x20-\x7E]")).withColumn("_k", F.lower("token"))
-    other = words.where(F.col("token").rlike(r"[^\x20-\x7E]")).withColumn("_k", of("token"))
-    both = plain.unionByName(other)
-    return both.withColumn("bucket", F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int")).drop("_k")
+    odd = F.col("token").rlike(_ODD)
+    plain = words.where(~odd).select("token", "n", F.lower("token").alias("key"), F.lit(True).alias("in_form"))
+    other = words.where(odd).withColumn("_d", described("token")).select("token", "n", "_d.key", "_d.in_form")
+    return plain.unionByName(other)
 
 
-def canonical_words(vocabulary: DataFrame, dirty: DataFrame, buckets: int) -> DataFrame:
-    """(token, form): the canonical spelling of every word of ``dirty`` (token) by ``vocabulary`` (token, n)."""
+def canonical_words(words: DataFrame, buckets: int) -> DataFrame:
+    """(token, form, steps) of every word of ``words`` (token, n, key, in_form) outside ASCII, by those in form."""
 
     def match(known: pa.Table, asked: pa.Table) -> pa.Table:
         tokens = asked["token"].to_pylist()
-        forms: list[str] = []
+        read: list[tuple[str, int]] = []
         if tokens:
             trie = Trie()
-            for word, n in zip(known["token"].to_pylist(), known["n"].to_pylist(), strict=True):
+            for word, n in zip(known["word"].to_pylist(), known["n"].to_pylist(), strict=True):
                 trie.add(word, n)
-            for token in tokens:
-                found = trie.canonical(token)
-                forms.append(by_table(token) if found is None else found)
-        return pa.table([pa.array(tokens, pa.string()), pa.array(forms, pa.string())], names=["token", "form"])
+            read = [read_word(trie, token) for token in tokens]
+        forms, steps = zip(*read, strict=True) if read else ((), ())
+        columns = [pa.array(tokens, pa.string()), pa.array(forms, pa.string()), pa.array(steps, pa.int32())]
+        return pa.table(columns, names=["token", "form", "steps"])
 
-    left = _bucketed(vocabulary.select("token", "n"), buckets).groupBy("bucket")
-    right = _bucketed(dirty.select("token"), buckets).groupBy("bucket")
-    return left.cogroup(right).applyInArrow(match, "token string, form string")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    asked = words.where(F.col("token").rlike(_ODD))
+    known = words.where("in_form").join(asked.select("key").distinct(), "key", "left_semi")
+    left = known.select(F.col("token").alias("word"), "n", bucket).groupBy("bucket")
+    right = asked.select("token", bucket).groupBy("bucket")
+    return left.cogroup(right).applyInArrow(match, "token string, form string, steps int")
 
 
 def consistent_fields(fields: DataFrame, garbled_model: LetterModel | None = None) -> DataFrame:
     """(track_id, field_name, text, form) of the fields of (track_id, field_name, text) that are out of form.
 
-    With a letter model, fields that were decoded wrongly are left out.
+    Those are the fields with a word that the automaton read with a free step,
+    or with a space other than U+0020. With a letter model, fields that were
+    decoded wrongly are left out.
     """
     spark = fields.sparkSession
-    # three steps read the scan, so it is written once
-    scanned = cut_lineage(_scanned(fields, garbled_model).select("track_id", "field_name", "text", "_s.dirty", "_s.pieces"))
-    plain_words = fields.where(~F.col("text").rlike(r"[^\x20-\x7E]")).select(F.explode(F.split("text", " +")).alias("token"))
-    other_words = scanned.select(F.explode("pieces").alias("p")).where(~F.col("p.dirty")).select("p.token")
-    vocabulary = plain_words.unionByName(other_words).where(F.col("token") != "")
-    vocabulary = vocabulary.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-    bad = scanned.where("dirty").select("track_id", "field_name", "text", F.posexplode_outer("pieces").alias("pos", "p"))
-    bad = bad.select("track_id", "field_name", "text", "pos", "p.token", F.coalesce("p.dirty", F.lit(False)).alias("dirty"))
-    asked = bad.where("dirty").select("token").distinct()
-    forms = canonical_words(vocabulary, asked, max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    spelled = lookup(bad.where("dirty"), "token", forms, "token", "form", "form").unionByName(
-        bad.where(~F.col("dirty")).withColumn("form", F.col("token"))
-    )
-    word = F.struct("pos", F.coalesce("form", "token", F.lit("")).alias("form"))
-    together = spelled.groupBy("track_id", "field_name").agg(F.first("text").alias("text"), F.sort_array(F.collect_list(word)).alias("words"))
-    return together.select("track_id", "field_name", "text", F.array_join("words.form", " ").alias("form"))
+    words = cut_lineage(vocabulary_words(fields))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    changed = canonical_words(words, buckets).where("steps > 0").select("token", "form")
+    odd = fields.where(F.col("text").rlike(_ODD)).select("track_id", "field_name", "text")
+    tokens = odd.select("*", F.posexplode(F.split("text", _BLANKS)).alias("pos", "token")).where(F.col("token").rlike(_ODD))
+    hits = lookup(tokens, "token", cut_lineage(changed), "token", "form", "form").where(F.col("form").isNotNull()).drop("token")
+    blanks = odd.where(F.col("text").rlike(_ODD_BLANK)).select("*", F.lit(-1).alias("pos"), F.lit("").alias("form"))
+    place = F.struct("pos", "form")
+    found = hits.unionByName(blanks).groupBy("track_id", "field_name", "text").agg(F.map_from_entries(F.collect_set(place)).alias("_forms"))
+    spelled = F.transform(F.split("text", _BLANKS), lambda w, i: F.coalesce(F.try_element_at("_forms", i), w))
+    found = found.select("track_id", "field_name", "text", F.trim(F.array_join(spelled, " ")).alias("form"))
+    if garbled_model is None:
+        return found
+    return found.where(~restored(F.col("text"), garbled_model)["garbled"])
 
 
 def model_of(tracks: DataFrame, columns: list[str]) -> LetterModel:

@@ -86,11 +86,26 @@ def test_automaton_agrees_with_scan_of_the_vocabulary():
             if len(w) == len(seen):
                 cost = sum(lookalikes._step(c, x) for c, x in zip(seen, w, strict=True))
                 if cost <= lookalikes.BUDGET:
-                    best.append((cost, sum(a != b for a, b in zip(seen, w, strict=True)), -n, w))
-        return min(best)[3] if best else None
+                    free = sum(a != b and not lookalikes._step(a, b) for a, b in zip(seen, w, strict=True))
+                    best.append((cost, free + sum(n for _, n in lookalikes.clusters(word)), -n, w))
+        return (min(best)[3], min(best)[1]) if best else None
 
     for word in ("Росa", "Ｑuiet", "qu​iet", "Café", "Ｃafe", "Ｚork", "QUITE", "Рoca"):
         assert trie.canonical(word) == brute(word)
+    for word in vocabulary:
+        assert trie.canonical(word) == (word, 0)
+
+
+def test_automaton_decides_what_is_out_of_form():
+    words = ["Ｑuiet", "Qu\u200biet", "Cafe\u0301", "Caf\u00e9", "\ufb01ne", "Рос\u0061", "Роса", "Poca", "デンシャ", "ﾃﾞﾝｼｬ", "テ゛ンシャ", "👩\u200d🚀",
+             "\u1100\u1161\u11a8", "각", "\u212bngstr\u00f6m", "A\u030angstro\u0308m", "x\u0302", "कि", "Zoя", "Ⅷ", "²", "\u200b", "\u0301a"]
+    trie = lookalikes.Trie()
+    for w in [w for w in words if not lookalikes.out_of_form(w)] + ["fine", "Quiet"]:
+        trie.add(w, 1)
+    for w in words:
+        assert (lookalikes.read_word(trie, w)[1] > 0) == lookalikes.out_of_form(w)
+        assert "".join(x for letters, _ in lookalikes.clusters(w) for x in letters) == "".join(lookalikes.units(w))
+    assert lookalikes.read_word(trie, "\ufb01ne") == ("fine", 1)
 
 
 # 4. neighbours
