@@ -189,6 +189,63 @@ def test_names(spark, typed, artist, _cache={}):
     assert _cache["links"].get(typed) == artist
 
 
+def test_common_rewritings_lose_no_link(spark):
+    rng = random.Random(8)
+    given = ["Joseph", "John", "Johan", "Josef", "Robert", "Roberta", "Margaret", "Maria", "Marion", "Edward", "Theodore", "Ingrid", "J", "Ana"]
+    known = [(i, f"{g} {m}{s}") for i, (g, m, s) in enumerate((g, m, s) for s in ("Smith", "Smyth", "Smiths", "Holm") for g in given for m in ("", "Q. ", "Lee "))]
+    typed = {"J Smith", "Joe Smith", "Jon Smith", "Smith, Bob", "Bob Q Smth", "Peggy Lee Smyht", "Ingie Holm", "Jospeh Lee Smiths", "Ted Smith", "Holm Ana", "Xngrid Holm"}
+    for _, name in rng.sample(known, 60):
+        i = rng.randrange(len(name))
+        typed |= {name[:i] + name[i + 1 :], name[:i] + "e" + name[i:], " ".join(reversed(name.split())), name.upper()}
+    registry = spark.createDataFrame(known, "artist_id long, name string")
+    asked = spark.createDataFrame([(t,) for t in sorted(typed)], "name string")
+    rows = [{tuple(r) for r in names.linked_names(asked, registry, common).collect()} for common in (0, 3, 10**9)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 100
+    # the pair that shares the rarest rewriting is the link: brute force over all pairs
+    forms = {n: set(names.rewritings(n, False)) for _, n in known}
+    count = {}
+    for f in forms.values():
+        for x in f:
+            count[x] = count.get(x, 0) + 1
+    links = {r[0]: (r[1], r[4]) for r in rows[0]}
+    for t in typed - {n for _, n in known}:
+        scored = []
+        for i, n in known:
+            both, cost = set(names.rewritings(t, True)) & forms[n], names.alignment(t, n)
+            if both and cost is not None:
+                bits = round(np.log2(len(known) + 1) - np.log2(min(count[x] for x in both)), 6)
+                scored.append((round(bits - names.COST_BITS * cost, 6), -i, bits))
+        scored.sort(reverse=True)
+        alone = scored and (len(scored) == 1 or scored[0][0] > scored[1][0])
+        assert links.get(t) == ((-scored[0][1], scored[0][2]) if alone else None)
+
+
+def test_words_that_align_share_a_key():
+    rng = random.Random(4)
+    tried = 0
+    for _ in range(20000):
+        known = "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
+        typed = list(known)
+        for _ in range(rng.randint(0, 2)):
+            i, kind = rng.randrange(len(typed) + 1), rng.randrange(4)
+            typed[i : i + (kind < 2) + 2 * (kind == 3)] = [] if kind == 1 else typed[i : i + 2][::-1] if kind == 3 else [rng.choice("abc")]
+        typed = "".join(typed) or "a"
+        if names._word_cost(typed, known, False) < 10:
+            tried += 1
+            assert names._word_keys(typed, True) & names._word_keys(known, False), (typed, known)
+    assert tried > 5000
+
+
+def test_long_names_are_aligned_whole():
+    long = "The Grand Old Northern Harbour Brass Sextet And Choir Of Upper Velm Town"
+    assert names.alignment("grand old northern harbor brass sextet choir of upper velm town", long) == 1.0
+    assert names.alignment("town velm upper of choir sextet brass harbour northern old grand", long) == 0.0
+    assert names.alignment("grand old northern harbour brass sextet choir of upper zorq town", long) is None
+    assert names.alignment("la " * 30, "La " * 30) == 0.0 and names.alignment("la " * 30 + "xo", "La " * 30 + "Yu") is None
+    assert names.alignment("a b c d e f g h i j k l m n", "A B C D E F G H I J K L M O") is None  # two initials that differ
+    assert [names._abbreviates(*p) for p in (("yth", "youth"), ("qt", "quartet"), ("jan", "jordan"), ("st", "sat"))] == [True, True, False, False]
+
+
 def test_edits():
     assert [names.edits(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abcd", "badc"), ("abc", "xyz"))] == [0, 1, 1, 2, 3]
 
