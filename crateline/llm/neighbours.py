@@ -6,7 +6,9 @@ than its nearest one. Two vectors within ``radius`` of each other therefore
 always share a file: the pivot nearest to the middle between them is at most
 ``radius`` farther from either than its own nearest pivot. Within a file the
 members are ranked for each vector by the footrule distance of the pivot
-orders, the best are kept and reranked by their true distance.
+orders, the best are kept and reranked by their true distance. Those not kept are
+reranked too where distances to a few members of the file cannot rule them out,
+so the k nearest within the radius are found whole.
 
 Pivots are a sample of the distinct vectors, about four times the square root
 of their number and never more than ``MAX_PIVOTS``: a file that held a large
@@ -35,7 +37,10 @@ from crateline.operators.skew import lookup
 from crateline.session import cut_lineage
 
 #: Pivots at most, members of the order kept with a vector, members kept per file for the rerank, rows of a block.
-MAX_PIVOTS, ORDER_LENGTH, KEPT, FILE_ROWS = 16_384, 8, 96, 8_192
+MAX_PIVOTS, ORDER_LENGTH, KEPT, FILE_ROWS = 16_384, 8, 32, 8_192
+
+#: Members of a file whose distances rule out what the footrule cut left aside.
+GUIDES = 12
 
 _NUMBER = r"\s*-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\s*"
 
@@ -119,7 +124,11 @@ def search_file(
     q_ids: np.ndarray, q: np.ndarray, q_ranked: np.ndarray, x_ids: np.ndarray, x: np.ndarray, x_ranked: np.ndarray,
     k: int, radius: float, kept: int = KEPT,
 ) -> list[tuple[str, str, float]]:
-    """(query, member, distance): up to ``k`` nearest members within ``radius`` of each query, by footrule then distance.
+    """(query, member, distance): the ``k`` nearest members within ``radius`` of each query, by footrule then distance.
+
+    The ``kept`` best by footrule are reranked. The others are looked at again only
+    where the triangle inequality leaves room for one of the ``k`` nearest, so the
+    result does not depend on ``kept``.
 
     The footrule distance of two orders of length l is l(l+1) less twice the sum
     over common pivots of the smaller of their weights, so only that sum is computed.
@@ -129,18 +138,34 @@ def search_file(
     q_index = index[: q_ranked.size].reshape(q_ranked.shape)
     weights = footrule_weights(x_ranked, len(pivots), index[q_ranked.size :].reshape(x_ranked.shape))
     own = np.arange(q_ranked.shape[1], 0, -1, dtype=np.uint8)[None, :, None]
+    # distances to a few members: no two rows are nearer than these differ
+    guides = x[np.linspace(0, len(x) - 1, min(GUIDES, len(x))).astype(int)]
+    q_guide, x_guide = (np.sqrt(((y[:, None] - guides[None]) ** 2).sum(axis=2)).astype(np.float32) for y in (q, x))
     out: list[tuple[str, str, float]] = []
     step = max(1, 2_000_000 // max(1, len(x) * q_ranked.shape[1]))
     for at in range(0, len(q), step):
         common = np.minimum(weights[q_index[at : at + step]], own).sum(axis=1, dtype=np.uint16)
+        n = len(common)
         if kept < len(x):
             best = np.argpartition(common, len(x) - kept, axis=1)[:, -kept:]
         else:
-            best = np.tile(np.arange(len(x)), (len(common), 1))
+            best = np.tile(np.arange(len(x)), (n, 1))
         d = np.sqrt(((q[at : at + step, None, :] - x[best]) ** 2).sum(axis=2))
-        for i, j in zip(*np.nonzero(d <= radius), strict=True):
-            if q_ids[at + i] != x_ids[best[i, j]]:
-                out.append((q_ids[at + i], x_ids[best[i, j]], float(d[i, j])))
+        other = q_ids[at : at + step, None] != x_ids[best]
+        found = [(i, best[i, j], d[i, j]) for i, j in zip(*np.nonzero((d <= radius) & other), strict=True)]
+        if kept < len(x):
+            # what the footrule cut left out and the guides cannot rule out within the k-th distance so far
+            near = np.sort(np.where(other, d, np.inf), axis=1)
+            reach = np.minimum(near[:, k - 1] if near.shape[1] >= k else np.inf, radius).astype(np.float32) + 1e-3
+            left = np.ones((n, len(x)), dtype=bool)
+            np.put_along_axis(left, best, False, axis=1)
+            for g in range(len(guides)):
+                left &= np.abs(q_guide[at : at + step, g, None] - x_guide[None, :, g]) <= reach[:, None]
+            i, j = np.nonzero(left)
+            e = np.sqrt(((q[at + i] - x[j]) ** 2).sum(axis=1))
+            ok = (e <= radius) & (q_ids[at + i] != x_ids[j])
+            found += list(zip(i[ok], j[ok], e[ok], strict=True))
+        out += [(q_ids[at + i], x_ids[j], float(dist)) for i, j, dist in found]
     out.sort(key=lambda r: (r[0], r[2], r[1]))
     seen, first = {}, []
     for r in out:
@@ -159,12 +184,10 @@ def near_classes(classes: DataFrame, k: int, radius: float, max_pivots: int = MA
     pivots = choose_pivots(classes, count, max_pivots)
     posted = cut_lineage(post(classes, pivots, radius))
     postings = posted.select("class", "vector", "ranked", F.explode("files").alias("file"))
-    sizes = posted.select(F.explode("files").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    large = {r["file"]: -(-r["n"] // FILE_ROWS) for r in sizes.where(F.col("n") > FILE_ROWS).collect()}
-    if large:
-        blocks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in large.items() for v in kv]), F.col("file")), F.lit(1))
-    else:
-        blocks = F.lit(1)
+    # one row per file, so no more than pivots: small enough to broadcast whatever the data
+    sizes = posted.select(F.explode("files").alias("file")).groupBy("file").agg(F.ceil(F.count(F.lit(1)) / F.lit(FILE_ROWS)).cast("int").alias("blocks"))
+    postings = postings.join(F.broadcast(sizes), "file")
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("class"), blocks.cast("bigint")).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     roles = F.when(
