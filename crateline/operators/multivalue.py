@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crateline.operators.bounded import collect_if_small
+from crateline.operators.skew import lookup
+from crateline.session import cut_lineage
 
 #: Lexicons above this size are joined to the candidate spans instead of shipped to the workers.
 MAX_LEXICON = 200_000
@@ -102,12 +104,12 @@ class Lexicon:
 
     @classmethod
     def of(cls, names: Iterable[str], grammar: Grammar) -> Lexicon:
-        lex, cut = cls(), grammar.delimiter()
+        lex = cls()
         for name in names:
             if not name or not (key := lexicon_key(name)):
                 continue
             lex.exact.add(key)
-            pieces = len([p for p in cut.split(name) if p and p.strip()])
+            pieces = _pieces_of(name, grammar)
             if pieces > 1:
                 lex.max_pieces = max(lex.max_pieces, pieces)
                 if len(key) >= 8:
@@ -313,7 +315,7 @@ def split_values(
             lexicon = Lexicon.of((r[0] for r in rows), grammar)
             split = packed.withColumn("_values", value_array(F.col("_text"), grammar, lexicon))
         else:
-            split = _split_with_join(packed, id_column, grammar, names)
+            split = _split_with_join(packed, grammar, names)
         if min_values <= 1:
             plain = base.where(~F.col("_text").rlike(_any_delimiter(grammar)))
             split = split.unionByName(plain.withColumn("_values", F.array(F.trim("_text"))))
@@ -338,35 +340,54 @@ def _any_delimiter(grammar: Grammar) -> str:
     return f"{pattern}|(?i)[\\s(\\[](?:{words})\\s" if words else pattern
 
 
-def candidate_spans(text: str, grammar: Grammar, widest: int = 6) -> list[str]:
+def _pieces_of(name: str, grammar: Grammar) -> int:
+    return len([p for p in grammar.delimiter().split(name) if p and p.strip()])
+
+
+def lexicon_keys(name: str, grammar: Grammar) -> list[str]:
+    """What a known name is joined by: its key, and for names with delimiters the key with one slip."""
+    key = lexicon_key(name)
+    if not key:
+        return []
+    near = _deletions(key) if len(key) >= 8 and _pieces_of(name, grammar) > 1 else set()
+    return ["=" + key, *sorted("~" + k for k in near)]
+
+
+def candidate_spans(text: str, grammar: Grammar, widest: int) -> list[str]:
     """Keys of all runs of up to ``widest`` pieces, for matching with a lexicon too large to ship."""
     pieces = scan(text, grammar)
-    keys = {lexicon_key(text)}
+    keys, near = {lexicon_key(text)}, set()
     for i in range(len(pieces)):
         for j in range(i, min(len(pieces), i + widest)):
-            keys.add(lexicon_key(text[pieces[i].start : pieces[j].end]))
+            key = lexicon_key(text[pieces[i].start : pieces[j].end])
+            keys.add(key)
+            if j > i and len(key) >= 8:
+                near |= _deletions(key)
         if i + 1 < len(pieces):
             keys.add(lexicon_key(f"{pieces[i + 1].text} {pieces[i].text}"))
-    return sorted(k for k in keys if k)
+    return sorted("=" + k for k in keys if k) + sorted("~" + k for k in near)
 
 
-def _split_with_join(packed: DataFrame, id_column: str, grammar: Grammar, names: DataFrame) -> DataFrame:
-    spans_of = F.pandas_udf(
-        lambda s: s.map(lambda x: candidate_spans(x, grammar)), T.ArrayType(T.StringType())
-    )
-    key_of = F.pandas_udf(lambda s: s.map(lexicon_key), T.StringType())
+def _split_with_join(packed: DataFrame, grammar: Grammar, names: DataFrame) -> DataFrame:
+    pieces = F.pandas_udf(lambda s: s.map(lambda x: _pieces_of(x, grammar)), T.IntegerType())
+    widest = names.agg(F.max(pieces("_name"))).first()[0] or 1
+    strings = T.ArrayType(T.StringType())
+    spans_of = F.pandas_udf(lambda s: s.map(lambda x: candidate_spans(x, grammar, widest)), strings)
+    keys_of = F.pandas_udf(lambda s: s.map(lambda x: lexicon_keys(x, grammar)), strings)
     texts = packed.select("_text").distinct()
     spans = texts.select("_text", F.explode(spans_of("_text")).alias("_key"))
-    keys = names.select(key_of("_name").alias("_key")).distinct()
+    keys = names.select(F.explode(keys_of("_name")).alias("_key")).distinct()
     known = spans.join(keys, "_key", "left_semi").groupBy("_text").agg(F.collect_set("_key").alias("_known"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @F.pandas_udf(strings)
     def split(text: pd.Series, known: pd.Series) -> pd.Series:
         out = []
         for value, keys in zip(text, known, strict=True):
-            own = set(keys) if keys is not None else set()
-            lexicon = Lexicon(own, set(), 6 if own else 1)
-            out.append(split_text(value, grammar, lexicon))
+            own = list(keys) if keys is not None else []
+            exact, near = ({k[1:] for k in own if k[0] == sign} for sign in "=~")
+            out.append(split_text(value, grammar, Lexicon(exact, near, widest)))
         return pd.Series(out)
 
-    return packed.join(known, "_text", "left").withColumn("_values", split("_text", "_known")).drop("_known")
+    # every distinct text is split once, and its values go back to its rows without gathering a frequent text in one task
+    done = texts.join(known, "_text", "left").withColumn("_values", split("_text", "_known")).select("_text", "_values")
+    return lookup(packed, "_text", cut_lineage(done), "_text", "_values", "_values")

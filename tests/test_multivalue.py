@@ -51,7 +51,7 @@ def test_joined_values_come_back():
 
 def test_rows_and_fallback_join(spark):
     rows = spark.createDataFrame(
-        [(1, "Ann Lee; A & B", None, "x"), (2, None, "Jazz|Tape/Loop", "x"), (3, "Ann Lee", "", "x"), (3, "Ann Lee", "", "x"), (4, "w; " * 5000, "Dub", "x")],
+        [(1, "Ann Lee; A & B", None, "x"), (2, None, "Jazz|Tape/Loop", "x"), (3, "Ann Lee", "", "x"), (3, "Ann Lee", "", "x"), (4, "w; " * 5000, "Dub", "x"), (5, None, "Swing, Old Tme, Jazz", "x")],
         "id int, artist string, genre string, _text string",
     )
     fields = {
@@ -62,7 +62,7 @@ def test_rows_and_fallback_join(spark):
     joined = sorted(map(tuple, M.split_values(rows, "id", fields, 2, max_lexicon=1).collect()))
     assert small == joined
     assert [r for r in small if r[0] < 4] == [(1, "artist", 1, "Ann Lee"), (1, "artist", 2, "A & B"), (2, "genre", 1, "Jazz"), (2, "genre", 2, "Tape/Loop")]
-    assert sum(r[0] == 4 for r in small) == 5000
+    assert sum(r[0] == 4 for r in small) == 5000 and [r[3] for r in small if r[0] == 5] == ["Swing, Old Tme", "Jazz"]
     every = M.split_values(rows, "id", fields)
     assert every.where("id = 3").count() == 2
     assert M.split_values(rows.limit(0), "id", fields).count() == 0
