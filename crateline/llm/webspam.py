@@ -4,21 +4,32 @@ Texts become sequences of function words and word classes: function words stand
 for themselves, other words for their shape and for how many words ago the last
 function word was. A trigram model with Witten-Bell smoothing is counted over
 the prose of all documents, that is over their lines that read like sentences,
-profiles or numbered lists. Every window of a document is then scored. Its
-perplexity is abnormally high where words run on without the grammar of prose
-(keywords, tags, names, links). The content words of a window are also scored
-by a cache model of the document itself, whose pairs and words of the last
-``REPEAT_REACH`` places are cheap, over the ends of lines; their perplexity is
-abnormally low where a phrase keeps returning, however fluent the rest. Lines of
-verse that return whole or but for a few words are refrains, which the cache does
-not count. A page is flagged if most of its words stand in such windows.
+profiles or numbered lists; a second one over coarse classes, in which all
+function words are one. Documents fall into two halves by a hash of their text
+and each half is scored by the models of the other, so no text teaches the model
+that judges it. What is abnormal is not set by hand but by quantiles of the
+perplexity of the held-out prose: a window is abnormally high where it is above
+``HIGH_SHARE`` of held-out prose and does not read as prose of another style
+either, that is its coarse perplexity is above ``COARSE_SHARE`` of held-out prose,
+fewer than ``LEAST_FUNCTION`` of its words are function words, or its content words
+return so often that the cache model below needs less than ``STYLE_BITS``. That is where
+words run on without the grammar of prose (keywords, tags, names, links). The
+content words of a window are also scored by a cache model of the document
+itself, whose pairs and words of the last ``REPEAT_REACH`` places are cheap, over
+the ends of lines; their perplexity is abnormally low where a phrase keeps
+returning, however fluent the rest. Lines of verse that return whole or but for a
+few words are refrains, which the cache does not count. A page is flagged if most
+of its words stand in abnormal windows.
 
 Tokenising is the only per-token work in Python; it is done once, the class
-numbers are written to the checkpoint folder, and counting and scoring run on
-whole arrays. The model has at most ``MAX_NGRAMS`` trigrams, whatever the corpus.
+numbers are written to the checkpoint folder, counting and scoring run on whole
+arrays, and only a few figures per window are written for the decision. A model
+has at most ``MAX_NGRAMS`` trigrams, the most frequent; the coarse one never has as
+many.
 
 Defined results: NULL, empty and blank texts and texts of fewer than
-``MIN_WORDS`` words are never flagged; texts are taken whole.
+``MIN_WORDS`` words are never flagged; texts are taken whole; without any
+held-out prose nothing is abnormally high.
 """
 
 from __future__ import annotations
@@ -78,8 +89,8 @@ for _name in (
 N_CLASSES = len(CLASSES)
 
 #: Parameters of the decision.
-WINDOW, MIN_WORDS, MAX_BITS, HIGH_BITS = 20, 8, 10.0, 2.8
-LOW_BITS, LEAST_CONTENT, REPEAT_REACH, FLAG_SHARE = 4.0, 5, 30, 0.5
+WINDOW, MIN_WORDS, MAX_BITS, HIGH_SHARE, COARSE_SHARE, LEAST_FUNCTION = 20, 8, 10.0, 0.995, 0.95, 0.25
+LOW_BITS, STYLE_BITS, LEAST_CONTENT, REPEAT_REACH, FLAG_SHARE = 4.0, 7.0, 5, 30, 0.5
 #: Bits of a word in the cache model by mark: no content word, new, seen, seen behind the same word.
 CACHE_BITS = np.array([0.0, 10.0, 5.0, 1.0])
 MAX_NGRAMS, UNSEEN = 2_000_000, 1 / 600
@@ -89,6 +100,34 @@ for _name, _number in CLASSES.items():
     _WORDLIKE[_number] = len(_name) > 1 and (_name[0] in _SHAPES and _name[1:].isdigit() or _name[:2] in ("f:", "e:"))
 
 
+_FUNCTION = np.zeros(N_CLASSES, dtype=bool)
+for _name, _number in CLASSES.items():
+    _FUNCTION[_number] = _name[:2] in ("f:", "e:")
+
+
+def _coarse_name(name: str) -> str:
+    if name in ("$", "$prose", "^"):
+        return name
+    if name[:2] in ("f:", "e:"):
+        return "F"
+    if name[0] in _SHAPES and name[1:].isdigit():
+        return ("w" if name[0] in "wWM" else name[0]) + name[1:]
+    return "." if name in ".!?…" else "," if name in ",;:" else "P"
+
+
+#: The coarse class of each class, numbered by its first member.
+COARSE = np.zeros(N_CLASSES, dtype=np.int64)
+_first: dict[str, int] = {}
+for _name, _number in CLASSES.items():
+    COARSE[_number] = _first.setdefault(_coarse_name(_name), _number)
+
+
+def coarse_keys(keys: np.ndarray) -> np.ndarray:
+    """The trigrams in coarse classes."""
+    two = N_CLASSES * N_CLASSES
+    return (COARSE[keys // two] * N_CLASSES + COARSE[keys // N_CLASSES % N_CLASSES]) * N_CLASSES + COARSE[keys % N_CLASSES]
+
+
 def _gap_bucket(gap: int) -> int:
     return (0, 1, 2, 3, 4, 4, 5, 5, 5)[gap] if gap < 9 else 6
 
@@ -264,25 +303,36 @@ class ProseModel:
         return np.minimum(-np.log2(p), MAX_BITS)
 
 
-def score(classes: np.ndarray, marks: np.ndarray, bits: np.ndarray) -> tuple[int, int, float]:
-    """(words, words in abnormal windows, mean bits) of one document."""
+def windows(classes: np.ndarray, marks: np.ndarray, bits: np.ndarray, coarse: np.ndarray) -> tuple[int, float, dict[str, np.ndarray]]:
+    """(words, mean bits, figures of each window) of one document.
+
+    Figures: words that are this window's own, mean bits, mean coarse bits, mean
+    cache bits of its content words, share of function words, all prose or not.
+    """
     kept = classes > END_PROSE
-    classes, marks, bits = classes[kept], marks[kept], bits[kept]
+    ends = np.flatnonzero(~kept)
+    in_prose = np.zeros(len(classes) + 1)
+    if len(ends):  # each place has the kind of the next end of line
+        in_prose[: ends[-1] + 1] = (classes[ends] == END_PROSE)[np.searchsorted(ends, np.arange(ends[-1] + 1))]
+    in_prose = in_prose[:-1][kept]
+    classes, marks, bits, coarse = classes[kept], marks[kept], bits[kept], coarse[kept]
     n = len(classes)
-    if not n:
-        return 0, 0, 0.0
     weight = _WORDLIKE[classes]
     starts = np.arange(0, n, WINDOW)
     a = np.maximum(0, np.minimum(starts, n - WINDOW))
     b = np.minimum(a + WINDOW, n)
     total = lambda x: np.concatenate([[0], np.cumsum(x)])
-    c_bits, c_content, c_cache, c_word = total(bits), total(marks > 0), total(CACHE_BITS[marks]), total(weight)
-    mean = (c_bits[b] - c_bits[a]) / (b - a)
-    content = c_content[b] - c_content[a]
-    cached = (c_cache[b] - c_cache[a]) / np.maximum(content, 1)
-    abnormal = (mean > HIGH_BITS) | ((content >= LEAST_CONTENT) & (cached < LOW_BITS))
-    own = c_word[np.minimum(starts + WINDOW, n)] - c_word[starts]
-    return int(weight.sum()), int(own[abnormal].sum()), float(bits.mean())
+    inside = lambda x: total(x)[b] - total(x)[a]
+    content, size = inside(marks > 0), np.maximum(b - a, 1)
+    figures = {
+        "own": total(weight)[np.minimum(starts + WINDOW, n)] - total(weight)[starts],
+        "high": inside(bits) / size,
+        "coarse": inside(coarse) / size,
+        "cached": np.where(content >= LEAST_CONTENT, inside(CACHE_BITS[marks]) / np.maximum(content, 1), MAX_BITS),
+        "grammar": inside(_FUNCTION[classes]) / np.maximum(inside(weight), 1),
+        "prose": inside(in_prose) == b - a,
+    }
+    return int(weight.sum()), float(bits.mean()) if n else 0.0, figures
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -292,13 +342,14 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classified(documents: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(doc_id, classes, marks) of every document; documents labelled spam do not teach the model."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """(doc_id, classes, marks, half) of every document; documents labelled spam do not teach the model."""
+    # copies of a text are in one half
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
     if labels is not None:
         spam = labels.where(F.lower(F.trim("label")) == "spam").select(F.col("doc_id").alias("_spam")).distinct()
-        docs = docs.join(spam, F.col("doc_id") == F.col("_spam"), "left").select("doc_id", "text", F.col("_spam").isNull().alias("teach"))
+        docs = docs.join(spam, F.col("doc_id") == F.col("_spam"), "left").select("doc_id", "text", F.col("_spam").isNull().alias("teach"), "half")
     else:
-        docs = docs.withColumn("teach", F.lit(True))
+        docs = docs.select("doc_id", "text", F.lit(True).alias("teach"), "half")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,57 +361,102 @@ def classified(documents: DataFrame, labels: DataFrame | None) -> DataFrame:
                         part.column(0),
                         pa.array([c for c, _ in pairs], pa.list_(pa.int16())),
                         pa.array([m for _, m in pairs], pa.list_(pa.int8())),
+                        part.column(3),
                     ],
-                    ["doc_id", "classes", "marks"],
+                    ["doc_id", "classes", "marks", "half"],
                 )
 
-    return spread(docs, "doc_id").mapInArrow(run, "doc_id bigint, classes array<smallint>, marks array<tinyint>")
+    return spread(docs, "doc_id").mapInArrow(run, "doc_id bigint, classes array<smallint>, marks array<tinyint>, half int")
 
 
-def train(tokens: DataFrame, max_ngrams: int = MAX_NGRAMS) -> ProseModel:
-    """The model of the prose lines of all documents."""
+def train(tokens: DataFrame, max_ngrams: int = MAX_NGRAMS) -> list[tuple[ProseModel, ProseModel]]:
+    """For each half of the documents the models, fine and coarse, of the prose lines of the other half."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, int] = {}
+        sums: dict[tuple[int, int], int] = {}
         for batch in batches:
             values, offsets = _lists(batch.column(0))
+            half = np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
             values = values[offsets[0] : offsets[-1]]
             if not len(values):
                 continue
             keys, line = _trigrams(values)
             prose = np.zeros(line[-1] + 2, dtype=bool)
             prose[line[values == END_PROSE]] = True
-            found, n = np.unique(keys[prose[line]], return_counts=True)
-            for k, x in zip(found.tolist(), n.tolist(), strict=True):
-                sums[k] = sums.get(k, 0) + x
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["key", "n"]
-        )
+            for side in (0, 1):
+                found, n = np.unique(keys[prose[line] & (half == side)], return_counts=True)
+                for k, x in zip(found.tolist(), n.tolist(), strict=True):
+                    sums[side, k] = sums.get((side, k), 0) + x
+        columns = [[h for h, _ in sums], [k for _, k in sums], list(sums.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["half", "key", "n"])
 
-    grams = tokens.select("classes").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = grams.orderBy(F.desc("n"), "key").limit(max_ngrams).collect()
-    return ProseModel(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64))
+    grams = tokens.select("classes", "half").mapInArrow(count, "half int, key bigint, n bigint").groupBy("half", "key").agg(F.sum("n").alias("n"))
+    rows = grams.orderBy(F.desc("n"), "half", "key").limit(max_ngrams).collect()
+    models = []
+    for side in (0, 1):
+        keys = np.array([r[1] for r in rows if r[0] != side], dtype=np.int64)
+        counts = np.array([r[2] for r in rows if r[0] != side], dtype=np.int64)
+        coarse, at = np.unique(coarse_keys(keys), return_inverse=True)
+        models.append((ProseModel(keys, counts), ProseModel(coarse, np.bincount(at, weights=counts, minlength=len(coarse)))))
+    return models
 
 
-def spam_scores(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(doc_id, words, abnormal, bits): words of each document, those in abnormal windows, mean bits of a class."""
-    tokens = cut_lineage(classified(documents, labels))
-    model = train(tokens)
+_FIGURES = {"own": "int", "high": "float", "coarse": "float", "cached": "float", "grammar": "float", "prose": "boolean"}
+
+
+def scored_windows(tokens: DataFrame, models: list[tuple[ProseModel, ProseModel]]) -> DataFrame:
+    """(doc_id, words, bits, w: array of the figures of each window) of every document."""
+    kinds = {"int": pa.int32(), "float": pa.float32(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = _lists(batch.column(1))
             marks, _ = _lists(batch.column(2))
             keys, _ = _trigrams(values)
-            bits = model.bits(keys)
-            rows = [score(values[a:b], marks[a:b], bits[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            words, abnormal, mean = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.int64()), pa.array(abnormal, pa.int64()), pa.array(mean, pa.float64())],
-                ["doc_id", "words", "abnormal", "bits"],
-            )
-
-    return tokens.mapInArrow(run, "doc_id bigint, words bigint, abnormal bigint, bits double")
+            half = np.repeat(batch.column(3).to_numpy(), np.diff(offsets))
+            bits, coarse = np.zeros(len(keys)), np.zeros(len(keys))
+            for side, (fine, rough) in enumerate(models):
+                here = np.flatnonzero(half == side) + offsets[0]
+                bits[here], coarse[here] = fine.bits(keys[here]), rough.bits(coarse_keys(keys[here]))
+            rows = [windows(values[a:b], marks[a:b], bits[a:b], coarse[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            ends = np.cumsum([0, *(len(w["own"]) for _, _, w in rows)]).astype(np.int32)
+            fields = [pa.array(np.concatenate([np.zeros(0), *(w[name] for _, _, w in rows)])).cast(kinds[kind]) for name, kind in _FIGURES.items()]
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=list(_FIGURES)))
+            plain = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*plain, listed], ["doc_id", "words", "bits", "w"])
+
+    figures = ", ".join(f"{name}: {kind}" for name, kind in _FIGURES.items())
+    return tokens.mapInArrow(run, f"doc_id bigint, words bigint, bits double, w array<struct<{figures}>>")
+
+
+def prose_limits(scored: DataFrame) -> tuple[float, float]:
+    """(bits, coarse bits) that ``HIGH_SHARE`` and ``COARSE_SHARE`` of the windows of held-out prose do not exceed.
+
+    Counted in steps of 0.01 bits, so no more than about 2,000 rows come to the driver; infinite without prose.
+    """
+    prose = scored.select(F.explode("w").alias("w")).where("w.prose")
+    step = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.ceil(F.col(f"w.{c}") * 100).cast("int").alias("at")) for c in ("high", "coarse")]))
+    rows = prose.select(step.alias("s")).groupBy("s.kind", "s.at").agg(F.count(F.lit(1)).alias("n")).collect()
+    limits = []
+    for kind, share in (("high", HIGH_SHARE), ("coarse", COARSE_SHARE)):
+        own = sorted((r["at"], r["n"]) for r in rows if r["kind"] == kind)
+        below = np.cumsum([n for _, n in own])
+        limits.append(own[int(np.searchsorted(below, share * below[-1]))][0] / 100 if own else float("inf"))
+    return limits[0], limits[1]
+
+
+def spam_scores(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, words, abnormal, bits): words of each document, those in abnormal windows, mean bits of a class."""
+    tokens = cut_lineage(classified(documents, labels))
+    scored = cut_lineage(scored_windows(tokens, train(tokens)))
+    high, coarse = prose_limits(scored)
+
+    def abnormal(w: Column) -> Column:
+        other_style = (w["coarse"] <= coarse) & (w["grammar"] >= LEAST_FUNCTION) & (w["cached"] >= STYLE_BITS)
+        return ((w["high"] > high) & ~other_style) | (w["cached"] < LOW_BITS)
+
+    counted = F.aggregate("w", F.lit(0).cast("bigint"), lambda n, w: n + F.when(abnormal(w), w["own"]).otherwise(0))
+    return scored.select("doc_id", "words", counted.alias("abnormal"), "bits")
 
 
 def is_spam() -> Column:

@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, round trips and edge cases."""
 
+import os
 import random
 
 import numpy as np
@@ -364,8 +365,8 @@ def test_model_matches_plain_counts():
 def test_fluent_repetition_is_abnormally_low():
     def share(text):
         classes, marks = (np.array(x) for x in webspam.tokenise(text))
-        words, abnormal, _ = webspam.score(classes, marks, np.ones(len(classes)))  # fluent everywhere
-        return abnormal / words
+        words, _, w = webspam.windows(classes, marks, np.ones(len(classes)), np.ones(len(classes)))  # fluent everywhere
+        return w["own"][w["cached"] < webspam.LOW_BITS].sum() / words
 
     within = "Our cheap vinyl is cheap vinyl, and the cheap vinyl you want is this cheap vinyl. " * 6
     lines = ["The cheap vinyl is here.", "We have cheap vinyl and more cheap vinyl.", "So what is cheap vinyl?", "This is the cheap vinyl you want, and it is cheap vinyl."] * 6
@@ -373,3 +374,45 @@ def test_fluent_repetition_is_abnormally_low():
     assert share(within) > webspam.FLAG_SHARE and share("\n".join(lines)) > webspam.FLAG_SHARE
     assert share("\n".join(verses)) == 0
     assert webspam.END_PROSE not in webspam.tokenise("\n".join(lines))[0] and webspam.END_PROSE in webspam.tokenise("\n".join(verses))[0]
+
+
+#: Ordinary prose of other styles than the test tables.
+PASSAGES = """The old man walked slowly down to the harbour, where a few boats were still waiting for the evening tide. He had not slept well.
+Today I went to the market with my sister and we bought apples, bread and a little cheese. It rained the whole way home, but we laughed.
+We propose a method for the estimation of sparse matrices from noisy observations. The estimator is consistent under mild assumptions.
+It was the best of times, it was the worst of times, it was the age of wisdom, it was the age of foolishness.
+The council met on Tuesday to discuss the new bridge, which will cost more than was expected when the plan was first drawn up.
+If you want the dough to rise, leave it near the oven for an hour and do not open the door until it has doubled.
+She asked me whether I had seen the letter, and I told her that it must have been lost with the rest of the papers.
+Water boils at a lower temperature in the mountains because the pressure of the air is less than it is at the sea.
+Als er am Morgen aus dem Haus ging, lag noch Schnee auf den Dächern, und die Straße war so still, dass er seine Schritte hörte.
+Der Ausschuss hat den Antrag nach langer Beratung abgelehnt, weil die Kosten nicht gedeckt sind und niemand sie tragen wollte.
+Man nimmt zwei Eier und etwas Mehl, rührt alles mit der Milch glatt und lässt den Teig eine halbe Stunde in der Küche stehen.
+Ich habe dir doch gesagt, dass wir den Zug nicht mehr erreichen, wenn du noch einmal nach Hause gehst.
+Le train avait du retard, et nous avons attendu sur le quai avec les autres voyageurs sans savoir ce qui se passait.
+Dans cette étude, on montre que la méthode donne de bons résultats quand les données ne sont pas trop bruitées.
+Il faut laisser la pâte dans un endroit chaud pendant une heure, puis la mettre au four avec un peu de beurre.
+Ma grand-mère disait que la mer était plus belle en hiver, mais elle ne sortait plus de sa maison.
+El barco llegó al puerto cuando ya era de noche, y los hombres que esperaban en el muelle no dijeron nada.
+La reunión se celebró en la sala de la escuela, donde los vecinos hablaron de la carretera y de los árboles.
+Si quieres que la salsa quede bien, no la dejes mucho tiempo en el fuego y añade la sal al final.
+Mi hermano no sabía que la casa era tan vieja, pero le gustó el jardín y se quedó con nosotros hasta el lunes.""".split("\n")
+
+
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="needs a corpus to learn prose from; a few made-up lines are too alike")
+def test_ordinary_prose_is_left_alone(spark):
+    spam = ["deep house mix vinyl promo dub techno label shop order rare press wax crate digger sale", "#dub #house #free #vinyl #mix #wax #rare #label #promo #shop #tape #disc"]
+    rows = [(-1 - i, p) for i, p in enumerate(PASSAGES)] + [(-100 - i, t) for i, t in enumerate(spam)]
+    corpus = spark.read.parquet(DOCUMENTS).select("doc_id", "text")
+    scores = webspam.spam_scores(corpus.unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = {r["doc_id"] for r in scores.where(webspam.is_spam() & (F.col("doc_id") < 0)).collect()}
+    assert len(PASSAGES) == 20 and found == {-100, -101}
+
+
+def test_copies_do_not_teach_their_own_model(spark):
+    docs = spark.createDataFrame([(i, "The wax is warm and the night is long.") for i in range(40)] + [(99, "So we play it until the end of the night, and then we sleep.")], "doc_id long, text string")
+    halves = {r["half"] for r in webspam.classified(docs.where("doc_id < 40"), None).select("half").collect()}
+    assert len(halves) == 1 and webspam.prose_limits(webspam.scored_windows(webspam.classified(docs.limit(0), None), [(webspam.ProseModel(np.zeros(0, int), np.zeros(0)),) * 2] * 2)) == (float("inf"),) * 2
