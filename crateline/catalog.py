@@ -94,21 +94,41 @@ _SOFT["any_energy"] = f"greatest({_SOFT['med_energy']}, {_SOFT['high_energy']})"
 _HEARD = "(vocalness IS NOT NULL OR instrumentalness IS NOT NULL)"
 
 
+#: The contexts as the SQL states them, apart from the library's own table: evidence names with signals, and certainty.
+_STATED = {
+    "background": ((("low_aggression", "low_aggr"), ("background_energy", "bg_energy"), ("not_too_bright", "soft_bright"), ("not_too_danceable", "soft_dance")), 0.68),
+    "lounge_bar": ((("low_aggression", "low_aggr"), ("medium_energy", "med_energy"), ("warmth", "warm"), ("groove", "groove"), ("mid_tempo", "mid_tempo")), 0.74),
+    "warm_lounge": ((("warmth", "warm"), ("low_aggression", "low_aggr"), ("low_mid_energy", "low_mid_energy"), ("groove", "groove"), ("balanced_brightness", "balanced")), 0.74),
+    "dinner": ((("low_aggression", "low_aggr"), ("low_mid_energy", "low_mid_energy"), ("warmth", "warm"), ("background", "bg")), 0.7),
+    "cooking": ((("medium_energy", "med_energy"), ("low_aggression", "low_aggr"), ("groove", "groove"), ("balanced_brightness", "balanced")), 0.7),
+    "focus": ((("very_low_aggression", "very_low_aggr"), ("low_mid_energy", "low_mid_energy"), ("calm_dance", "calm_dance"), ("low_vocal_or_instrumental", "no_vocal")), 0.78),
+    "dark_ambient": ((("dark", "dark"), ("low_aggression", "low_aggr"), ("low_mid_energy", "low_mid_energy"), ("not_too_danceable", "calm_dance")), 0.72),
+    "no_vocals_background": ((("low_vocal_or_instrumental", "no_vocal"), ("low_aggression", "low_aggr"), ("background_energy", "bg_energy"), ("background", "bg")), 0.82),
+    "party": ((("high_energy", "high_energy"), ("danceable", "dance"), ("bright", "bright"), ("not_too_aggressive", "low_aggr")), 0.72),
+    "club": ((("danceable", "dance"), ("dance_tempo", "dance_tempo"), ("high_energy", "high_energy"), ("not_too_aggressive", "low_aggr")), 0.76),
+    "workout": ((("high_energy", "high_energy"), ("fast_tempo", "fast_tempo"), ("danceable", "dance"), ("aggression", "pushing")), 0.72),
+    "driving": ((("medium_or_high_energy", "any_energy"), ("driving_tempo", "driving_tempo"), ("groove", "groove"), ("not_too_aggressive", "low_aggr")), 0.72),
+}
+
+
+def _evidence(name: str) -> list[tuple[str, str]]:
+    return list(_STATED[name][0])
+
+
 def _context(name: str) -> str:
-    parts = derive.CONTEXTS[name][0]
+    parts = [signal for _, signal in _evidence(name)]
     score = "((" + " + ".join(_SOFT[p] for p in parts) + f") / {float(len(parts))})"
     return f"(CASE WHEN {_HEARD} THEN {score} ELSE least({score}, 0.45) END)" if name == "no_vocals_background" else score
 
 
 def _confidence(name: str) -> str:
-    sure = derive.CONTEXTS[name][1]
+    sure = _STATED[name][1]
     less = {"focus": 0.56, "no_vocals_background": 0.34}.get(name)
     return f"CAST(CASE WHEN {_HEARD} THEN {sure} ELSE {less} END AS DOUBLE)" if less else f"CAST({sure} AS DOUBLE)"
 
 
 _FITS = "fits AS (" + " UNION ALL ".join(
-    f"SELECT track_id, '{c}' AS context, round({_context(c)}, 6) AS score, {_confidence(c)} AS confidence FROM feats WHERE round({_context(c)}, 6) >= 0.05"
-    for c in derive.CONTEXTS
+    f"SELECT track_id, '{c}' AS context, round({_context(c)}, 6) AS score, {_confidence(c)} AS confidence FROM feats WHERE round({_context(c)}, 6) >= 0.05" for c in _STATED
 ) + ")"
 
 _TAG_RULES = [
@@ -399,6 +419,18 @@ def context_fit(spark, folder):
     return _fits(spark, folder).drop("evidence")
 
 
+@query(
+    "context_evidence",
+    f"WITH {_FEATURES} " + " UNION ALL ".join(
+        f"SELECT track_id, '{c}' AS context, '{key}' AS signal, round({_SOFT[part]}, 6) AS value FROM feats WHERE round({_context(c)}, 6) >= 0.05"
+        for c in _STATED for key, part in _evidence(c)
+    ),
+)
+def context_evidence(spark, folder):
+    """What every context score is made of."""
+    return _fits(spark, folder).select("track_id", "context", F.explode("evidence").alias("signal", "value"))
+
+
 @query("perceived_tempo", f"WITH {_FEATURES} SELECT track_id, round({_TEMPO}, 6) AS tempo FROM feats")
 def perceived_tempo(spark, folder):
     """The tempo a listener feels."""
@@ -564,13 +596,6 @@ def feedback_summary(spark, folder):
     return retrieval.feedback_summary(load(spark, folder, "feedback"))
 
 
-@query("typo_suggestions")
-def typo_suggestions(spark, folder):
-    """Corrections of misspelt query words from the genres of the library."""
-    terms = load(spark, folder, "genre_terms").select(F.explode(X.tag_terms(F.col("name"))).alias("term")).distinct()
-    return retrieval.typo_candidates(["tecno", "ambeint", "shoegaz"], terms, ["ambient", "techno", "party"])
-
-
 # --- hybrid search ---------------------------------------------------------------------------------------------------
 
 
@@ -816,18 +841,6 @@ def metadata_confidence(spark, folder):
     return claims.metadata_confidence(load(spark, folder, "tracks"), load(spark, folder, "track_metadata_claims"))
 
 
-@query("claims_reselected")
-def claims_reselected(spark, folder):
-    """All claims with the selected one set anew, fallback claims added."""
-    return claims.selected_claims(load(spark, folder, "tracks"), load(spark, folder, "track_metadata_claims")).select("id", "track_id", "field_name", "selected")
-
-
-@query("filename_inference")
-def filename_inference(spark, folder):
-    """Blank titles and artists filled from file names."""
-    return claims.inferred_metadata(load(spark, folder, "tracks"))
-
-
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 _RESULTS = """res AS (SELECT id AS search_id, unnest(from_json(result_track_ids_json, '["VARCHAR"]')) AS track_id, generate_subscripts(from_json(result_track_ids_json, '["VARCHAR"]'), 1) AS rank
@@ -860,12 +873,6 @@ def eval_diversity(spark, folder):
     return evaluation.diversity(evaluation.result_rows(load(spark, folder, "search_events")), load(spark, folder, "tracks"))
 
 
-@query("eval_tag_agreement")
-def eval_tag_agreement(spark, folder):
-    """How far the results of every logged search carry expected tags."""
-    return evaluation.tag_agreement(evaluation.result_rows(load(spark, folder, "search_events")), _tags(spark, folder), ["dark", "slow"], ["aggressive"])
-
-
 # --- pooling ---------------------------------------------------------------------------------------------------------
 
 

@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 #: Words that carry nothing in a query.
 QUERY_STOP_WORDS = (
-    "a", "an", "and", "are", "for", "from", "i", "in", "is", "it", "me", "music", "my", "of", "on", "or", "playlist", "song",
-    "songs", "that", "the", "to", "track", "tracks", "want", "with", "best", "by", "fastest", "find", "good", "great", "highest",
-    "least", "library", "list", "local", "lowest", "most", "nice", "no", "not", "order", "please", "recommend",
-    "recommendations", "show", "slowest", "some", "sort", "stuff", "top", "vibe", "vibes",
+    "a", "an", "am", "and", "are", "bar", "bpm", "for", "give", "i", "im", "in", "is", "m", "me", "music", "my", "of", "play", "songs",
+    "that", "the", "to", "track", "tracks", "want", "with", "without",
+    "best", "by", "fastest", "find", "good", "great", "highest", "least", "library", "list", "local", "lowest", "most", "nice", "no", "not",
+    "order", "please", "recommend", "recommendations", "show", "slowest", "some", "sort", "stuff", "top", "vibe", "vibes",
 )
 
 #: Words that carry nothing in a name; versions of a title with their common name.
@@ -30,9 +30,14 @@ VERSIONS = {
 }
 
 
+def strip(c: Column) -> Column:
+    """Without outer white space of any kind, not only U+0020."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$", "")
+
+
 def clean_value(c: Column) -> Column:
-    """Without outer blanks; NULL where nothing is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """Without outer white space; NULL where nothing is left."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 @lru_cache(maxsize=100_000)

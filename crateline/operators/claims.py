@@ -37,8 +37,8 @@ def selected_claims(tracks: DataFrame, claims: DataFrame) -> DataFrame:
     """All claims with ``selected`` set anew: per field the best claim that says what the track says, or a fallback claim made from the track."""
     said = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("v")) for f in (*SCORED_FIELDS, "date")]))
     fields = tracks.select(F.col("id").alias("track_id"), said.alias("s")).select("track_id", "s.field_name", F.col("s.v").alias("v"))
-    fields = fields.where(F.trim("v") != "").withColumn("n", F.lower(F.trim("v")))
-    base = claims.select("id", "track_id", "field_name", "value_text", "source", "confidence", "created_at").withColumn("n", F.lower(F.trim("value_text")))
+    fields = fields.withColumn("n", F.lower(X.strip(F.col("v")))).where(F.col("n") != "")
+    base = claims.select("id", "track_id", "field_name", "value_text", "source", "confidence", "created_at").withColumn("n", F.lower(X.strip(F.col("value_text"))))
     agreeing = base.join(fields.drop("v"), ["track_id", "field_name", "n"])
     chosen = agreeing.groupBy("track_id", "field_name").agg(F.max_by("id", F.struct(F.coalesce("confidence", F.lit(0.0)), "created_at", "id")).alias("chosen"))
     kept = base.drop("n").join(chosen, ["track_id", "field_name"], "left")

@@ -55,20 +55,20 @@ SOFT_SIGNALS = {
 }
 
 
-#: The parts of each context score and how sure it is.
-CONTEXTS: dict[str, tuple[tuple[str, ...], float]] = {
-    "background": (("low_aggr", "bg_energy", "soft_bright", "soft_dance"), 0.68),
-    "lounge_bar": (("low_aggr", "med_energy", "warm", "groove", "mid_tempo"), 0.74),
-    "warm_lounge": (("warm", "low_aggr", "low_mid_energy", "groove", "balanced"), 0.74),
-    "dinner": (("low_aggr", "low_mid_energy", "warm", "bg"), 0.70),
-    "cooking": (("med_energy", "low_aggr", "groove", "balanced"), 0.70),
-    "focus": (("very_low_aggr", "low_mid_energy", "calm_dance", "no_vocal"), 0.78),
-    "dark_ambient": (("dark", "low_aggr", "low_mid_energy", "calm_dance"), 0.72),
-    "no_vocals_background": (("no_vocal", "low_aggr", "bg_energy", "bg"), 0.82),
-    "party": (("high_energy", "dance", "bright", "low_aggr"), 0.72),
-    "club": (("dance", "dance_tempo", "high_energy", "low_aggr"), 0.76),
-    "workout": (("high_energy", "fast_tempo", "dance", "pushing"), 0.72),
-    "driving": (("any_energy", "driving_tempo", "groove", "low_aggr"), 0.72),
+#: The parts of each context score, under the names its evidence gives them, and how sure it is.
+CONTEXTS: dict[str, tuple[dict[str, str], float]] = {
+    "background": ({"low_aggression": "low_aggr", "background_energy": "bg_energy", "not_too_bright": "soft_bright", "not_too_danceable": "soft_dance"}, 0.68),
+    "lounge_bar": ({"low_aggression": "low_aggr", "medium_energy": "med_energy", "warmth": "warm", "groove": "groove", "mid_tempo": "mid_tempo"}, 0.74),
+    "warm_lounge": ({"warmth": "warm", "low_aggression": "low_aggr", "low_mid_energy": "low_mid_energy", "groove": "groove", "balanced_brightness": "balanced"}, 0.74),
+    "dinner": ({"low_aggression": "low_aggr", "low_mid_energy": "low_mid_energy", "warmth": "warm", "background": "bg"}, 0.70),
+    "cooking": ({"medium_energy": "med_energy", "low_aggression": "low_aggr", "groove": "groove", "balanced_brightness": "balanced"}, 0.70),
+    "focus": ({"very_low_aggression": "very_low_aggr", "low_mid_energy": "low_mid_energy", "calm_dance": "calm_dance", "low_vocal_or_instrumental": "no_vocal"}, 0.78),
+    "dark_ambient": ({"dark": "dark", "low_aggression": "low_aggr", "low_mid_energy": "low_mid_energy", "not_too_danceable": "calm_dance"}, 0.72),
+    "no_vocals_background": ({"low_vocal_or_instrumental": "no_vocal", "low_aggression": "low_aggr", "background_energy": "bg_energy", "background": "bg"}, 0.82),
+    "party": ({"high_energy": "high_energy", "danceable": "dance", "bright": "bright", "not_too_aggressive": "low_aggr"}, 0.72),
+    "club": ({"danceable": "dance", "dance_tempo": "dance_tempo", "high_energy": "high_energy", "not_too_aggressive": "low_aggr"}, 0.76),
+    "workout": ({"high_energy": "high_energy", "fast_tempo": "fast_tempo", "danceable": "dance", "aggression": "pushing"}, 0.72),
+    "driving": ({"medium_or_high_energy": "any_energy", "driving_tempo": "driving_tempo", "groove": "groove", "not_too_aggressive": "low_aggr"}, 0.72),
 }
 KEPT_SCORE = 0.05
 
@@ -82,7 +82,7 @@ def with_signals(features: DataFrame) -> DataFrame:
     out = slim.withColumn("tempo", N.perceived_tempo(F.col("bpm")))
     out = out.selectExpr("*", *[f"{sql} AS {name}" for name, sql in SOFT_SIGNALS.items()])
     out = out.selectExpr("*", "low_mid_energy * low_aggr AS bg", "greatest(med_energy, high_energy) AS any_energy")
-    scores = {name: f"({' + '.join(parts)}) / {len(parts)}D" for name, (parts, _) in CONTEXTS.items()}
+    scores = {name: f"({' + '.join(parts.values())}) / {len(parts)}D" for name, (parts, _) in CONTEXTS.items()}
     quiet = scores["no_vocals_background"]
     scores["no_vocals_background"] = f"CASE WHEN heard THEN {quiet} ELSE least({quiet}, 0.45D) END"
     return out.selectExpr("*", *[f"{sql} AS fit_{name}" for name, sql in scores.items()])
@@ -99,7 +99,7 @@ def context_fit(features: DataFrame) -> DataFrame:
     """(track_id, context, score, confidence, evidence) of scores of at least 0.05."""
     rows = []
     for name, (parts, _) in CONTEXTS.items():
-        evidence = ", ".join(f"'{p}', round({p}, 4)" for p in parts)
+        evidence = ", ".join(f"'{key}', round({signal}, 6)" for key, signal in parts.items())
         rows.append(f"named_struct('context', '{name}', 'score', round(fit_{name}, 6), 'confidence', {_confidence(name)}, 'evidence', map({evidence}))")
     exploded = with_signals(features).selectExpr("track_id", f"inline(array({', '.join(rows)}))")
     return exploded.where(F.col("score") >= KEPT_SCORE)

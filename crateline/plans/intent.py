@@ -13,11 +13,12 @@ from crateline.functions.text import QUERY_STOP_WORDS
 from crateline.plans.taxonomy import Taxonomy, default_taxonomy
 
 #: Words of a query that direct the search instead of naming content.
-DIRECTIVES = frozenset(
-    "aggressive aggression bpm bright brightness dance danceability danceable danciest dark darkest energetic energy fast faster fastest "
-    "hardest high highest least low lowest max maximum min minimum most quickest slow slower slowest softest tempo uptempo asc ascending by "
-    "desc descending order sort".split()
-)
+DIRECTIVES = (
+    "aggressive", "aggression", "bpm", "bright", "brightness", "dance", "danceability", "danceable", "danciest", "dark", "darkest",
+    "energetic", "energy", "fast", "faster", "fastest", "hardest", "high", "highest", "least", "low", "lowest", "max", "maximum", "min",
+    "minimum", "most", "quickest", "slow", "slower", "slowest", "softest", "tempo", "uptempo", "asc", "ascending", "by", "desc", "descending",
+    "order", "sort",
+)
 
 #: Phrases that negate a quality, and the words they take out of the query.
 NEGATIONS = (
@@ -29,10 +30,22 @@ NEGATIONS = (
 
 #: Superlatives by feature, falling and rising.
 SUPERLATIVES = {
-    "energy": (r"most energetic|highest energy|high energy|max(?:imum)? energy", r"least energetic|lowest energy|low energy|minimum energy"),
-    "danceability": (r"most danceable|danciest|highest danceability|high danceability", r"least danceable|lowest danceability|low danceability"),
-    "aggression": (r"most aggressive|hardest|highest aggression|high aggression", r"least aggressive|softest|lowest aggression|low aggression"),
-    "brightness": (r"brightest|highest brightness|high brightness|most bright", r"darkest|lowest brightness|low brightness|least bright"),
+    "energy": (
+        ("most energetic", "highest energy", "high energy", "max energy", "maximum energy"),
+        ("least energetic", "lowest energy", "low energy", "minimum energy"),
+    ),
+    "danceability": (
+        ("most danceable", "danciest", "highest danceability", "high danceability"),
+        ("least danceable", "lowest danceability", "low danceability"),
+    ),
+    "aggression": (
+        ("most aggressive", "hardest", "highest aggression", "high aggression"),
+        ("least aggressive", "softest", "lowest aggression", "low aggression"),
+    ),
+    "brightness": (
+        ("brightest", "highest brightness", "high brightness", "most bright"),
+        ("darkest", "lowest brightness", "low brightness", "least bright"),
+    ),
 }
 PERCENTILE_OF_LEVEL = {
     "very_low": ("lowest", "p25"), "low": ("lowest", "p35"), "low_mid": ("lowest", "p55"), "mid": ("p25", "p75"),
@@ -86,7 +99,7 @@ def parse_sorts(query: str) -> list[tuple[str, str]]:
     if re.search(r"\bslowest\b", text) or (tempo and re.search(r"\b(lowest|min(?:imum)?|(?:least|low|slow) (?:bpm|tempo))\b", text)):
         found.append(("tempo_bpm", "asc"))
     for name, (falling, rising) in SUPERLATIVES.items():
-        found += [(name, "desc")] * bool(re.search(rf"\b(?:{falling})\b", text)) + [(name, "asc")] * bool(re.search(rf"\b(?:{rising})\b", text))
+        found += [(name, "desc")] * any(mentions(text, p) for p in falling) + [(name, "asc")] * any(mentions(text, p) for p in rising)
     if m := re.search(r"\b(?:sort|order) by (bpm|tempo|energy|danceability|dance|aggression|brightness)\b(?: (asc|desc))?", text):
         name = {"bpm": "tempo_bpm", "tempo": "tempo_bpm", "dance": "danceability"}.get(m.group(1), m.group(1))
         found.append((name, m.group(2) or "desc"))
@@ -175,7 +188,7 @@ def mode_of(intent: Intent, taxonomy: Taxonomy | None = None) -> str:
         return "feature_sort"
     if any(c in occasions for c in intent.contexts):
         return "occasion"
-    plain = [t for t in re.findall("[a-z0-9]+", intent.query.lower()) if t not in DIRECTIVES | {"music", "song", "songs", "track", "tracks"}]
+    plain = [t for t in re.findall("[a-z0-9]+", intent.query.lower()) if t not in (*DIRECTIVES, "music", "song", "songs", "track", "tracks")]
     direct_tag = names_tag(intent) and not negated_terms(intent.query) and len(content) == 1 and plain == content
     if intent.contexts and not direct_tag:
         return "context_vibe"
