@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from crateline.functions import numeric as N
 from crateline.functions import text as X
+from crateline.operators.skew import hot_keys, lookup
 
 #: What each source of evidence weighs, and from when it counts.
 WEIGHTS = {
@@ -33,10 +34,8 @@ SIDE = (
 )
 
 
-def with_sides(
-    pairs: DataFrame, tracks: DataFrame, features: DataFrame, a: str = "track_a", b: str = "track_b", audio: DataFrame | None = None
-) -> DataFrame:
-    """Pairs of ids with the columns of both tracks as structs ``a`` and ``b``; pairs of unknown tracks drop out.
+def sides(tracks: DataFrame, features: DataFrame, audio: DataFrame | None = None) -> DataFrame:
+    """(id, side): what is compared of every track.
 
     Decoded fingerprints are taken along where the tracks hold them (``chromaprint_frames``), audio embeddings
     (track_id, kind, model, vector) where they are given.
@@ -47,9 +46,17 @@ def with_sides(
     if audio is not None:
         vectors = audio.where(F.col("kind") == AUDIO_KIND).groupBy(F.col("track_id").alias("id"))
         side = side.join(vectors.agg(F.collect_list(F.struct("model", "vector")).alias("audio")), "id", "left")
-    packed = side.select("id", F.struct(*[F.col(c) for c in side.columns]).alias("side"))
-    out = pairs.join(packed.withColumnsRenamed({"id": "_a", "side": "a"}), F.col(a) == F.col("_a"))
-    return out.join(packed.withColumnsRenamed({"id": "_b", "side": "b"}), F.col(b) == F.col("_b")).drop("_a", "_b")
+    return side.select("id", F.struct(*[F.col(c) for c in side.columns]).alias("side"))
+
+
+def with_sides(
+    pairs: DataFrame, tracks: DataFrame, features: DataFrame, a: str = "track_a", b: str = "track_b", audio: DataFrame | None = None
+) -> DataFrame:
+    """Pairs of ids with the columns of both tracks as structs ``a`` and ``b``; pairs of unknown tracks drop out."""
+    packed = sides(tracks, features, audio)
+    out = lookup(pairs, a, packed, "id", "side", "a").where(F.col("a").isNotNull())
+    # the hot keys of the second column are those of the bare pairs
+    return lookup(out, b, packed, "id", "side", "b", hot_keys(pairs, b)).where(F.col("b").isNotNull())
 
 
 def key_status(a: Column, b: Column) -> Column:
@@ -322,7 +329,11 @@ SOURCES = [
 
 def reports(pairs: DataFrame, tracks: DataFrame, features: DataFrame, tolerance: float = 2.0, audio: DataFrame | None = None) -> DataFrame:
     """Evidence, decision, score and kind of every pair (track_a, track_b)."""
-    rows = with_evidence(with_sides(pairs, tracks, features, audio=audio), tolerance).withColumn("d", decision())
+    return _reported(with_sides(pairs, tracks, features, audio=audio), tolerance)
+
+
+def _reported(pairs: DataFrame, tolerance: float) -> DataFrame:
+    rows = with_evidence(pairs, tolerance).withColumn("d", decision())
     rows = rows.select(
         "track_a", "track_b", *SOURCES, "version", F.col("d.decision").alias("decision"), F.col("d.identity").alias("identity_decision"),
         F.col("d.confidence").alias("confidence"), F.col("d.score").alias("confidence_score"), candidate_score(SOURCES).alias("candidate_score"),
@@ -336,11 +347,17 @@ def closest_matches(
 ) -> DataFrame:
     """The tracks most like one track: informative ones first, padded with the nearest to at least five.
 
-    The source is a single row, looked up by id and joined by key with the ids to
-    compare, so nothing is multiplied.
+    The source is a single row, read first and put into the plan as a literal, so
+    the others are scored in one scan without a join. An unknown source has none.
     """
-    others = tracks.where((F.col("id") != source_id) & F.col("missing_at").isNull()).select(F.lit(source_id).alias("track_a"), F.col("id").alias("track_b"))
-    found = reports(others, tracks, features, tolerance, audio)
+    packed = sides(tracks, features, audio)
+    kind = packed.schema["side"].dataType
+    source = packed.where(F.col("id") == source_id).select(F.to_json("side")).first()
+    one = F.from_json(F.lit(source[0] if source else None).cast("string"), kind)
+    present = tracks.where(F.col("missing_at").isNull() & F.lit(source is not None))
+    others = sides(present, features, audio).where(F.col("id") != source_id)
+    pairs = others.select(F.lit(source_id).alias("track_a"), F.col("id").alias("track_b"), one.alias("a"), F.col("side").alias("b"))
+    found = _reported(pairs, tolerance)
     informative = (F.col("candidate_score") >= INFORMATIVE) | (F.col("confidence_score") > 0)
     order = [F.desc("informative"), F.desc("confidence_score"), F.desc("candidate_score"), F.desc("name.score"), F.asc("track_b")]
     best = found.withColumn("informative", informative).orderBy(*order).limit(max(limit, LEAST_RESULTS))

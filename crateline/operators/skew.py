@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one row in this many; so there can be no more hot keys than this.
@@ -31,21 +31,17 @@ def lookup(
 ) -> DataFrame:
     """``df`` with column ``out``: ``table``'s ``value`` where ``table_key`` equals ``key``, else NULL.
 
-    ``table_key`` is unique in ``table``. Rows of hot keys take their value from
-    a literal map of at most ``HOT_PARTS`` entries and are not shuffled by their
-    key; all others are joined. ``hot`` may bring the hot keys if they are known.
+    ``table_key`` is unique in ``table``. Rows of hot keys are joined to the
+    broadcast rows of those keys, at most ``HOT_PARTS``, and are not shuffled by
+    their key; all others are joined as usual. ``hot`` may bring the hot keys if they are known.
     """
     hot = hot_keys(df, key) if hot is None else hot
     right = table.select(F.col(table_key).alias("_lookup_key"), F.col(value).alias(out))
     if not hot:
         return df.join(right, F.col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
-    found = {r[0]: r[1] for r in right.where(F.col("_lookup_key").isin(hot)).collect()}
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = df.where(~is_hot).join(right, F.col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
-    if found:
-        entries: list[Column] = [F.lit(x) for pair in found.items() for x in pair]
-        value_of = F.try_element_at(F.create_map(*entries), F.col(key))
-    else:
-        value_of = F.lit(None)
-    hot_rows = df.where(is_hot).withColumn(out, value_of.cast(right.schema[out].dataType))
-    return cold.unionByName(hot_rows)
+    cold = df.where(~is_hot).join(right, F.col(key) == F.col("_lookup_key"), "left")
+    # table_key is unique, so at most HOT_PARTS rows are sent to the tasks
+    few = F.broadcast(right.where(F.col("_lookup_key").isin(hot)))
+    warm = df.where(is_hot).join(few, F.col(key) == F.col("_lookup_key"), "left")
+    return cold.unionByName(warm).drop("_lookup_key")

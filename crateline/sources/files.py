@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +38,34 @@ def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return files.select(path.alias("path"), extension.alias("extension"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("file_mtime_ns"))
 
 
-def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content_hash): SHA-256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("content_hash"))
+#: Bytes read at a time for a hash.
+HASH_CHUNK = 1 << 20
+
+
+def content_hashes(spark: SparkSession, folder: str, extensions: tuple[str, ...] = AUDIO_EXTENSIONS) -> DataFrame:
+    """(path, content_hash): SHA-256 of every audio file below a folder, read in chunks; NULL for a file that cannot be read."""
+    pattern = "*.{" + ",".join([*extensions, *(e.upper() for e in extensions)]) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
+
+    def digest(uri: str) -> str | None:
+        try:
+            if local := re.match("file:/+", uri):
+                store, path = fs.LocalFileSystem(), "/" + uri[local.end() :]
+            else:
+                store, path = fs.FileSystem.from_uri(uri)
+            total = hashlib.sha256()
+            with store.open_input_stream(path) as stream:
+                while chunk := stream.read(HASH_CHUNK):
+                    total.update(chunk)
+            return total.hexdigest()
+        except OSError:
+            return None
+
+    @F.pandas_udf("string")
+    def hashed(paths: pd.Series) -> pd.Series:
+        return paths.map(digest)
+
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), hashed("path").alias("content_hash"))
 
 
 def path_hash(path: Column) -> Column:

@@ -59,16 +59,25 @@ def append(rows: DataFrame, folder: str) -> None:
 
 
 def swap_table(rows: DataFrame, folder: str) -> None:
-    """Replace a table that ``rows`` may itself read: written beside it first, then renamed in its place."""
+    """Replace a table that ``rows`` may itself read: written beside it, the old one renamed aside, the new one renamed in, the old one deleted.
+
+    A crash between the renames leaves both tables whole under their side names.
+    """
     spark = rows.sparkSession
     staged = f"{folder.rstrip('/')}__next"
     rows.write.mode("overwrite").parquet(staged)
     jvm = spark._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(staged)
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}__old")
+    if fs.exists(old):
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"cannot rename {folder} aside")
     if not fs.rename(new, old):
+        fs.rename(aside, old)
         raise OSError(f"cannot rename {staged} to {folder}")
+    fs.delete(aside, True)
 
 
 def table_counts(tables: dict[str, DataFrame | None]) -> dict[str, int | None]:

@@ -147,3 +147,15 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q = catalogue.run_incremental(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert seen == [3]
+
+
+def test_hashes_are_read_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(files, "HASH_CHUNK", 7)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.mp3").write_bytes(b"x" * 100)
+    (tmp_path / "in" / "empty.flac").write_bytes(b"")
+    (tmp_path / "in" / "notes.txt").write_bytes(b"y")
+    found = {r["path"].rsplit("/", 1)[1]: r["content_hash"] for r in files.content_hashes(spark, str(tmp_path / "in")).collect()}
+    assert {k.replace("%20", " "): v for k, v in found.items()} == {"a b.mp3": hashlib.sha256(b"x" * 100).hexdigest(), "empty.flac": hashlib.sha256(b"").hexdigest()}
