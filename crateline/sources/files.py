@@ -43,7 +43,10 @@ HASH_CHUNK = 1 << 20
 
 
 def content_hashes(spark: SparkSession, folder: str, extensions: tuple[str, ...] = AUDIO_EXTENSIONS) -> DataFrame:
-    """(path, content_hash): SHA-256 of every audio file below a folder, read in chunks; NULL for a file that cannot be read."""
+    """(path, content_hash): SHA-256 of every audio file below a folder, read in chunks; NULL for a file that cannot be read.
+
+    Spark's file reader leaves empty files out, here and in ``scan_folder``.
+    """
     pattern = "*.{" + ",".join([*extensions, *(e.upper() for e in extensions)]) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
 
