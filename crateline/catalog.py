@@ -385,10 +385,35 @@ def dup_metadata_clusters(spark, folder):
     return duplicates.metadata_clusters(load(spark, folder, "tracks")).select("id", "n")
 
 
-@query("dup_groups")
+def _parts_sql(number: int) -> str:
+    return f"""part{number} AS (SELECT key, coalesce(CAST(anchor AS VARCHAR), 'unknown') AS cluster, list(id ORDER BY id) AS ids FROM placed{number} GROUP BY key, anchor HAVING count(*) > 1)"""
+
+
+def _placed_sql(number: int, source: str) -> str:
+    """The steps of a cluster pass with numbered names, so that several fit in one statement."""
+    return f"""base{number} AS ({source}), shared{number} AS (SELECT key FROM base{number} GROUP BY key HAVING count(*) > 1),
+      r{number} AS (SELECT b.*, row_number() OVER (PARTITION BY key ORDER BY duration, id) AS n FROM base{number} b SEMI JOIN shared{number} USING (key) WHERE duration IS NOT NULL),
+      f{number} AS (SELECT key, id, n, duration, duration AS anchor FROM r{number} WHERE n = 1
+        UNION ALL SELECT r.key, r.id, r.n, r.duration, CASE WHEN r.duration - f.anchor > 2.0 THEN r.duration ELSE f.anchor END FROM f{number} f JOIN r{number} r ON r.key = f.key AND r.n = f.n + 1),
+      placed{number} AS (SELECT key, id, anchor FROM f{number} UNION ALL SELECT key, id, NULL FROM base{number} SEMI JOIN shared{number} USING (key) WHERE duration IS NULL)"""
+
+
+_PRINTS = "SELECT chromaprint AS key, id, coalesce(fingerprint_duration, duration_sec) AS duration FROM tracks WHERE chromaprint IS NOT NULL AND missing_at IS NULL"
+
+
+@query(
+    "dup_groups",
+    "WITH RECURSIVE " + ", ".join([_placed_sql(2, _PRINTS), _placed_sql(3, _META), _parts_sql(2), _parts_sql(3)])
+    + """, part1 AS (SELECT list(id ORDER BY id) AS ids FROM tracks WHERE content_hash IS NOT NULL GROUP BY content_hash HAVING count(*) > 1),
+      every AS (SELECT 1 AS pass, 'content' AS kind, ids FROM part1 UNION ALL SELECT 2, 'fingerprint', ids FROM part2 UNION ALL SELECT 3, 'metadata', ids FROM part3),
+      kept AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY ids ORDER BY pass) = 1)
+      SELECT kind, ids[1] AS first_id, unnest(ids) AS id FROM kept""",
+)
 def dup_groups(spark, folder):
-    """Duplicate groups of all passes, equal sets of members once."""
-    return duplicates.duplicate_groups(load(spark, folder, "tracks"))
+    """Duplicate groups of all passes under their smallest member, equal sets of members once."""
+    found = duplicates.duplicate_groups(load(spark, folder, "tracks"))
+    first = found.groupBy("kind", "key", "cluster").agg(F.min("id").alias("first_id"))
+    return found.join(first, ["kind", "key", "cluster"]).select("kind", "first_id", "id")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crateline.catalog import _FEATURES, _RESULTS, _TAGS, _features, _tags, query
 from crateline.functions import numeric as N
 from crateline.functions import text as X
-from crateline.operators import claims, evaluation, retrieval
+from crateline.operators import claims, evaluation, matching, retrieval
 from crateline.sources.tables import load
 
 
@@ -241,6 +241,15 @@ def fn_frames_agree(spark, folder):
     return load(spark, folder, "events").select("event_id", N.frames_agree(F.col("user_id"), F.col("event_id")).alias("agree"))
 
 
+@query("fn_packed_frames", """WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+       SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(floor((x + 8) * 1000000) AS BIGINT) AS frame FROM x""")
+def fn_packed_frames(spark, folder):
+    """Frames packed into bytes and read back."""
+    frames = F.transform("embedding", lambda x: F.floor((x + F.lit(8).cast("float")) * F.lit(1000000).cast("float")).cast("bigint"))
+    rows = load(spark, folder, "embeddings").select("vec_id", matching.packed_frames(frames).alias("b"), F.size("embedding").alias("n"))
+    return rows.select("vec_id", F.posexplode(matching.unpacked_frames(F.col("b"), F.col("n"))).alias("pos", "frame"))
+
+
 _FAST = ["breakcore", "dnb", "drum and bass", "drum n bass", "drum bass", "drum&bass", "gabber", "happy hardcore", "hard techno", "hardcore techno", "hardstyle", "jungle", "speedcore"]
 _DOUBLED = ["boom bap", "conscious", "downtempo", "g funk", "gangsta", "hip hop", "hiphop", "instrumental hip hop", "rap", "screw", "thug rap", "trip hop"]
 

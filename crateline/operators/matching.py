@@ -145,6 +145,24 @@ def align_frames(a: np.ndarray, b: np.ndarray) -> float:
     return best / shorter
 
 
+@F.pandas_udf("binary")
+def packed_frames(frames: pd.Series) -> pd.Series:
+    """Frames as little-endian unsigned 32-bit numbers; NULL for none."""
+    return frames.map(lambda x: None if x is None or not len(x) else (np.asarray(x, dtype=np.int64) & 0xFFFFFFFF).astype("<u4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def unpacked_frames(blob: pd.Series, count: pd.Series) -> pd.Series:
+    """The frames of a packed value; none where its length is odd or not ``count``, if that is known."""
+
+    def read(data: bytes | None, n: float | None) -> list[int]:
+        if not data or len(data) % 4 or not (pd.isna(n) or int(n) == len(data) // 4):
+            return []
+        return np.frombuffer(bytes(data), dtype="<u4").astype(np.int64).tolist()
+
+    return pd.Series([read(x, n) for x, n in zip(blob, count, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.DoubleType())
 def frame_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two decoded fingerprints; NULL where either is NULL or empty."""

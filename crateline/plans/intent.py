@@ -79,6 +79,39 @@ def mentions(query: str, keyword: str) -> bool:
     return bool(re.search(rf"\b{pattern}\b", query.lower().replace("-", " ")))
 
 
+def mentions_loosely(query: str, phrase: str) -> bool:
+    """Whether a phrase stands in a query, signs read as blanks and "I'm" as "im"."""
+    apart = lambda x: re.sub("[^a-z0-9]+", " ", x)
+    asked = re.sub(r"\bi\s*['’]\s*m\b", "im", query.casefold())
+    return f" {apart(phrase.casefold())} " in f" {apart(asked)} "
+
+
+def with_term_replaced(query: str, term: str, other: str) -> str:
+    """A query with the first occurrence of a word written otherwise."""
+    return re.sub(rf"(?i)\b{re.escape(term)}\b", lambda _: other, query, count=1)
+
+
+def target_label(source: str) -> str:
+    """What a wanted range was drawn from, for people: without the kinds of source and repetitions."""
+    for kind in ("library_percentile:", "fallback:", "union:"):
+        source = source.replace(kind, "")
+    parts = unique_parts(re.split("[/+]", source))
+    return "/".join(parts).replace("_", " ") or "requested"
+
+
+def unique_parts(parts: list[str]) -> list[str]:
+    return list(dict.fromkeys(p.strip() for p in parts if p.strip()))
+
+
+def available_model(wanted: str, stored: list[str], default: str | None = None) -> str | None:
+    """The stored model that a name means: the same, one with the same last part of its path, or for the default any."""
+    leaf = lambda name: name.rstrip("/").rsplit("/", 1)[-1]
+    if wanted in stored:
+        return wanted
+    alike = [m for m in stored if leaf(m) == leaf(wanted)]
+    return alike[0] if alike else stored[0] if stored and wanted == default else None
+
+
 def negated_terms(query: str) -> set[str]:
     return {w for phrases, words in NEGATIONS if any(mentions(query, p) for p in phrases) for w in words}
 

@@ -159,3 +159,17 @@ def test_hashes_are_read_in_chunks(spark, tmp_path, monkeypatch):
     (tmp_path / "in" / "notes.txt").write_bytes(b"y")
     found = {r["path"].rsplit("/", 1)[1]: r["content_hash"] for r in files.content_hashes(spark, str(tmp_path / "in")).collect()}
     assert {k.replace("%20", " "): v for k, v in found.items()} == {"a b.mp3": hashlib.sha256(b"x" * 100).hexdigest()}
+
+
+def test_query_helpers():
+    assert I.mentions_loosely("I’m in the mood-music", "im in the mood") and not I.mentions_loosely("calming", "calm")
+    assert I.with_term_replaced("Tecno and tecno", "tecno", r"techno\\1") == r"techno\\1 and tecno"
+    assert I.target_label("union:library_percentile:high_energy+fallback:party/party") == "high energy/party" and I.target_label("") == "requested"
+    assert I.available_model("a/b", ["x/b", "a/c"]) == "x/b" and I.available_model("q", ["m"], "q") == "m" and I.available_model("q", ["m"]) is None
+
+
+def test_packed_frames_are_checked(spark):
+    rows = spark.createDataFrame([(1, bytes([1, 0, 0, 0, 255, 255, 255, 255]), 2), (2, b"abc", None), (3, b"abcd", 2), (4, None, None), (5, b"", 0)], "id int, b binary, n int")
+    found = {r["id"]: r["f"] for r in rows.select("id", matching.unpacked_frames("b", "n").alias("f")).collect()}
+    assert found == {1: [1, 0xFFFFFFFF], 2: [], 3: [], 4: [], 5: []}
+    assert spark.createDataFrame([([],)], "f array<long>").select(matching.packed_frames("f")).first()[0] is None
