@@ -145,7 +145,7 @@ def align_frames(a: np.ndarray, b: np.ndarray) -> float:
     return best / shorter
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed_frames(frames: pd.Series) -> pd.Series:
     """Frames as little-endian unsigned 32-bit numbers; NULL for none."""
     return frames.map(lambda x: None if x is None or not len(x) else (np.asarray(x, dtype=np.int64) & 0xFFFFFFFF).astype("<u4").tobytes())
