@@ -7,8 +7,9 @@ by the edge between the parents of its ends, without loops and repetitions. Only
 vertices smaller than all their neighbours are left, no two of them neighbours,
 so at most half of the vertices stay, or all but one around a hub, which is the
 next round's root. Every round's tables are written to the checkpoint folder
-(their sizes and whether a label changed are observed while writing), and the
-end is reached when no edge is left, that is when no label would change any
+(their sizes and whether a label changed are observed while writing) and read
+without the planner's estimates, which would double their digits with each jump.
+The end is reached when no edge is left, that is when no label would change any
 more. A parent is never larger than its child, so the last label of a vertex is
 the smallest id of its group.
 
@@ -53,7 +54,7 @@ def _written(df: DataFrame, changed: Column | None = None) -> tuple[DataFrame, i
     """(``df`` in the checkpoint folder, its rows, whether any row is ``changed``); the figures cost no job of their own."""
     seen = Observation()
     change = F.coalesce(F.max(F.coalesce(changed, F.lit(False)).cast("int")), F.lit(0)) if changed is not None else F.lit(0)
-    kept = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), change.alias("changed")))
+    kept = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), change.alias("changed")), keep_estimate=False)
     return kept, seen.get["n"], bool(seen.get["changed"])
 
 
@@ -83,7 +84,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, vertex: str = "ver
             labels, n_labels = parents, n_parents
         else:
             moved = lookup(labels, "parent", parents, "vertex", "parent", "_next", _hot(labels, n_labels, "parent"))
-            labels = cut_lineage(moved.select("vertex", F.coalesce("_next", "parent").alias("parent")))
+            labels = cut_lineage(moved.select("vertex", F.coalesce("_next", "parent").alias("parent")), keep_estimate=False)
         hot = _hot(edges, n_edges, "lo"), _hot(edges, n_edges, "hi")  # both from the written edges, not from a join
         ends = lookup(edges, "lo", parents, "vertex", "parent", "a", hot[0])
         ends = lookup(ends, "hi", parents, "vertex", "parent", "b", hot[1])

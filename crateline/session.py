@@ -49,7 +49,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="crateline-checkpoint-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+def cut_lineage(df: DataFrame, keep_estimate: bool = True) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+
+    A checkpoint keeps the planner's estimate of the size, and a join is
+    estimated by the product of its sides. A loop that joins its own result must
+    not keep it: its digits double with each round, until multiplying them takes
+    all time and memory of the driver.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if keep_estimate:
+        return kept
+    rows, schema = kept._jdf.queryExecution().toRdd(), kept._jdf.schema()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, schema, False), df.sparkSession)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -45,6 +46,22 @@ def test_groups(spark):
     assert groups(spark, pairs) == brute_groups(pairs)
 
 
+def estimated_digits(df):
+    """Of the planner's estimate of the size in bytes; as text, since Python turns at most 4,300 digits into a number."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().toString()
+    power = re.search(r"E\+(\d+)", size)
+    return int(power[1]) + 1 if power else 22
+
+
+def test_estimated_sizes_stay_small_over_the_rounds(spark):
+    """They had doubled their digits with every jump, on the driver, so a long chain took all of its memory."""
+    pairs = [(f"c{i * 7 % 90:03}", f"c{(i + 1) * 7 % 90:03}") for i in range(89)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    found = components.connected_groups(rows, "a", "b")
+    assert {r["vertex"]: r["group_id"] for r in found.collect()} == brute_groups(pairs)
+    assert estimated_digits(found) <= 40
+
+
 def test_groups_of_nothing(spark):
     assert groups(spark, []) == {} and groups(spark, [("a", "a"), (None, None)]) == {}
 

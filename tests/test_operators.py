@@ -11,6 +11,7 @@ from crateline.operators import browse, derive, duplicates, evaluation, ingest,
 from crateline.operators.skew import hot_keys, lookup
 from crateline.plans import intent as I
 from crateline.plans.taxonomy import LEVELS, default_taxonomy, parse_taxonomy
+from crateline.session import cut_lineage
 from crateline.sources import files, sinks
 
 
@@ -51,6 +52,17 @@ def test_lookup_with_a_hot_key(spark, monkeypatch):
     assert len(found) == 3001 and found[1] == 1 and found[6] == 6 and found[3] is None and found[9999] is None
 
 
+def test_cut_lineage_without_the_estimate(spark):
+    rows = spark.createDataFrame([(1, "a", [1.5, None], None), (2, None, [], "x")], "id int, k string, v array<double>, t string").withColumn("n", F.struct("k", "id"))
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size(cut_lineage(spark.range(3))) == size(spark.range(3)) == 24
+    kept = rows
+    for _ in range(12):
+        kept = cut_lineage(kept.join(kept.select(F.col("id").alias("other")), F.col("id") == F.col("other"), "left").drop("other"), keep_estimate=False)
+        assert size(kept) < 2**63
+    assert kept.schema == rows.schema and sorted(kept.collect()) == sorted(rows.collect())
+
+
 def test_clusters_compare_with_their_first_duration(spark):
     rows = spark.createDataFrame([("k", str(i), d) for i, d in enumerate([10.0, 11.5, 12.5, 14.6, 30.0, None, None])] + [("x", "z", 1.0)], "key string, id string, duration double")
     found = {}
